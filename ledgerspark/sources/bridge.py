@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.model import MONEY
+from ledgerspark.model import bank_name as code_bank
 from ledgerspark.operators.ordered import Hot, find_hot, hot_limit, rownum, running_sum, with_ordered
 
 _HOT_FILES: dict[tuple, Hot | None] = {}
@@ -248,6 +249,75 @@ class Ledger:
             F.size("history").cast("long").alias("correction_count"),
         )
 
+    @cached_property
+    def sheet_rows(self) -> DataFrame:
+        """Ledger rows written out as raw sheet text, one batch per file, with planted faults."""
+        m, seq = F.col("defect"), F.col("seq")
+        day = F.col("transaction_date")
+        raw_date = (
+            F.when(seq % 4 == 0, F.date_format(day, "dd/MM/yyyy"))
+            .when(seq % 4 == 1, F.date_format(day, "d-M-yyyy"))
+            .when(seq % 4 == 2, F.date_format(day, "dd-MMM-yyyy"))
+            .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        )
+
+        def money(name: str) -> Column:
+            text = F.col(name).cast("string")
+            return F.when(seq % 3 == 0, F.concat(text, F.lit(" Dr"))).when(
+                seq % 3 == 1, F.concat(F.lit("\u20b9"), text)
+            ).otherwise(text)
+
+        def cell(value: Column) -> Column:
+            return F.when(m == 10, F.lit(" ")).otherwise(value)
+
+        name = F.regexp_extract("description", r"^(\S+ \S+)", 1)
+        bank = code_bank(F.col("bank_code"))
+        return self.ledger.select(
+            F.col("source_file_id").alias("batch_id"),
+            (seq + 1).alias("row_number"),
+            cell(F.when(m == 12, "soon").otherwise(raw_date)).alias("raw_date"),
+            cell(F.when(m == 9, F.concat(F.lit("[sample] "), "description")).otherwise(F.col("description"))).alias(
+                "raw_narration"
+            ),
+            cell(F.col("reference")).alias("raw_cheque_ref_no"),
+            cell(F.when(m == 13, "31/02/1999").otherwise(F.date_format("value_date", "dd/MM/yyyy"))).alias(
+                "raw_value_date"
+            ),
+            cell(F.when(m == 14, "abc").when(m == 15, "-5.00").otherwise(money("debit"))).alias("raw_dr_amount"),
+            cell(money("credit")).alias("raw_cr_amount"),
+            cell(F.when(m == 16, "x1").otherwise(F.col("balance").cast("string"))).alias("raw_closing_balance"),
+            cell(F.when(m == 11, None).otherwise(name)).alias("raw_ledger_name"),
+            cell(F.when(m == 17, "").otherwise(bank)).alias("raw_bank_name"),
+        )
+
+    @cached_property
+    def correction_requests(self) -> DataFrame:
+        """User corrections of faulty rows, some of which must be refused."""
+        m, desc = F.col("defect"), F.col("description")
+        suffix = F.when(m == 12, " fixed").when(m == 9, " x").otherwise("")
+        times = F.when(m == 12, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        rows = self.ledger.filter(m.isin(1, 2, 3, 4, 9, 12, 13, 14, 15, 16))
+        rows = rows.withColumn("request_no", F.explode(times))
+        second = (m == 12) & (F.col("request_no") == 2)
+        return rows.select(
+            F.col("id").alias("transaction_id"),
+            "request_no",
+            F.expr("created_at + make_interval(0, 0, 0, 0, request_no)").alias("ts"),
+            (F.col("client_id") % 25).alias("user_id"),
+            F.when(m == 14, " ").otherwise(F.concat(F.lit("fix "), m.cast("string"))).alias("reason"),
+            "transaction_date",
+            F.concat(desc, suffix).alias("description"),
+            F.when(m == 15, F.lit(-5).cast(MONEY)).otherwise(F.col("debit")).alias("debit"),
+            F.when(m == 15, None).otherwise(F.col("credit")).cast(MONEY).alias("credit"),
+            "amount",
+            F.when(m == 3, F.col("balance") - 1).otherwise(F.col("balance")).cast(MONEY).alias("balance"),
+            F.when(second, F.concat(F.lit("FIX"), F.col("id").cast("string")))
+            .when(m == 16, "  ")
+            .otherwise(F.col("reference"))
+            .alias("reference"),
+            "transaction_type",
+        )
+
     @cached_property
     def job_events(self) -> DataFrame:
         stage = (
