@@ -213,22 +213,6 @@ COLUMN_PHRASES = [
     ("SignedAmount", ["amount"], []),
     ("Branch", ["branch"], []),
 ]
-# Column type codes.
-COLUMN_CODES = {
-    "Unknown": 0,
-    "Date": 1,
-    "ValueDate": 2,
-    "Description": 3,
-    "Reference": 4,
-    "Debit": 5,
-    "Credit": 6,
-    "Balance": 7,
-    "SignedAmount": 8,
-    "Indicator": 9,
-    "SerialNumber": 10,
-    "Branch": 11,
-}
-
 
 def classify_column(phrase: Column) -> Column:
     lower = F.lower(phrase)

@@ -355,9 +355,9 @@ def voucher_xml(headers: DataFrame, key: str = "batch_id") -> DataFrame:
         F.col("narration").alias("NARRATION"),
         lines.alias("ALLLEDGERENTRIES.LIST"),
     )
-    message = F.struct(F.lit("TallyUDF").alias("_xmlns:UDF"), voucher.alias("VOUCHER"))
-    xml = F.to_xml(message, {"rowTag": "TALLYMESSAGE"})
-    return headers.select(key, "row_number", F.regexp_replace(xml, r">\s+<", "><").alias("xml"))
+    xml = F.regexp_replace(F.to_xml(voucher, {"rowTag": "VOUCHER"}), r">\s+<", "><")
+    message = F.concat(F.lit('<TALLYMESSAGE xmlns:UDF="TallyUDF">'), xml, F.lit("</TALLYMESSAGE>"))
+    return headers.select(key, "row_number", message.alias("xml"))
 
 
 # The document around the messages.

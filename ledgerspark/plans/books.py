@@ -560,8 +560,9 @@ def snapshot_init(led: Ledger) -> DataFrame:
 
 @query(
     "ledger_replace",
-    """SELECT l.id + CASE WHEN f.processing_status = 6 THEN 1000000000000 ELSE 0 END AS id, l.source_file_id, l.balance
- FROM ledger l JOIN file_records f ON f.id = l.source_file_id WHERE f.processing_status <> 6 OR l.defect > 6""",
+    """SELECT l.id + CASE WHEN f.processing_status = 6 AND l.clean > 0 THEN 1000000000000 ELSE 0 END AS id, l.source_file_id, l.balance
+ FROM (SELECT *, count(*) FILTER (defect > 6) OVER (PARTITION BY source_file_id) clean FROM ledger) l
+ JOIN file_records f ON f.id = l.source_file_id WHERE f.processing_status <> 6 OR l.defect > 6 OR l.clean = 0""",
 )
 def ledger_replace(led: Ledger) -> DataFrame:
     """Files waiting for review are imported again with their clean rows; all others stay."""

@@ -9,10 +9,26 @@ from pyspark.sql import functions as F
 
 from ledgerspark.model import MONEY
 from ledgerspark.model import bank_name as code_bank
-from ledgerspark.operators.ordered import Hot, find_hot, hot_limit, rownum, running_sum, with_ordered
+from ledgerspark.operators.ordered import Hot, find_hot, hot_limit, rownum, running_sum, with_group, with_ordered
 
 _HOT_FILES: dict[tuple, Hot | None] = {}
 
+ROWS_PER_PAGE = 6
+# Title lines by bank code modulo 11; code 99 shares the first, unknown title.
+BANK_TITLES = [
+    "City Cooperative Bank statement",
+    "HDFC BANK LIMITED HDFC0001234 statement",
+    "YES BANK LIMITED YESB0001234 statement",
+    "AXIS BANK LIMITED UTIB0001234 statement",
+    "CENTRAL BANK OF INDIA CBIN0281234 statement",
+    "ICICI BANK LIMITED ICIC0001234 statement",
+    "STATE BANK OF INDIA SBIN0001234 statement",
+    "BANK OF INDIA BKID0001234 statement",
+    "Kotak Mahindra Bank Limited KKBK0001234 statement",
+    "PUNJAB NATIONAL BANK PUNB0123400 statement",
+    "BANK OF BARODA BARB0TRDABC statement",
+]
+
 LINE_ORDER = [
     "l_shipdate",
     "l_linenumber",
@@ -318,6 +334,100 @@ class Ledger:
             "transaction_type",
         )
 
+    @cached_property
+    def clean_rows(self) -> DataFrame:
+        """Rows without a planted fault, numbered per file; these are the rows that statements are rendered from."""
+        rows = self.transactions.filter("defect > 6")
+        rows = with_ordered(rows, ["source_file_id"], ["seq"], {"row_no": rownum()}, self.hot)
+        rows = with_group(rows, ["source_file_id"], {"n_rows": F.count(F.lit(1))}, self.hot)
+        index = F.col("row_no") - 1
+        return rows.withColumns(
+            {
+                "page": (F.floor(index / ROWS_PER_PAGE) + 1).cast("int"),
+                "slot": index % ROWS_PER_PAGE,
+                "n_pages": F.ceil(F.col("n_rows") / ROWS_PER_PAGE).cast("int"),
+            }
+        )
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """Statements rendered as positioned words: title, table heading, rows with wrapped text, footer."""
+        first, top = F.col("slot") == 0, F.col("row_no") == 1
+        y = (F.lit(150.0) + F.col("slot") * 18).cast("double")
+        wraps = F.col("row_no") % 7 == 0
+        parts = F.split("description", " ")
+        size = F.size(parts)
+
+        def word(text: Column, x: Column | float, top_y: Column | float) -> Column:
+            x = F.lit(float(x)) if isinstance(x, (int, float)) else x
+            top_y = F.lit(float(top_y)) if isinstance(top_y, (int, float)) else top_y
+            return F.struct(
+                x.cast("double").alias("x"),
+                top_y.cast("double").alias("y"),
+                (F.length(text) * 5.0).cast("double").alias("width"),
+                F.lit(8.0).alias("height"),
+                text.alias("text"),
+            )
+
+        def when_all(cond: Column, items: list[Column]) -> Column:
+            return F.when(cond, F.array(*items)).otherwise(F.slice(F.array(*items), 1, 0))
+
+        def phrase(texts: list[str], xs: list[float], top_y: float) -> list[Column]:
+            return [word(F.lit(t), x, top_y) for t, x in zip(texts, xs)]
+
+        def narration(i: Column) -> Column:
+            # The last word moves to a second line on every seventh row.
+            moved = wraps & (i == size - 1)
+            before = F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
+            x = F.when(moved, F.lit(120.0)).otherwise(F.lit(120.0) + before * 5.0)
+            return word(F.get(parts, i), x, y + F.when(moved, 10.0).otherwise(0.0))
+
+        title = F.get(F.array(*[F.lit(t) for t in BANK_TITLES]), F.col("bank_code") % 11)
+        titles = F.transform(F.split(title, " "), lambda w, i: word(w, F.lit(50.0) + i * 70, 40))
+        account = [
+            word(F.lit("Account"), 50, 60),
+            word(F.lit("Number"), 90, 60),
+            word(F.lpad((F.col("client_id") + 1000000).cast("string"), 12, "4"), 130, 60),
+        ]
+        opening = phrase(["Opening", "Balance", "10,000.00"], [50.0, 90.0, 455.0], 90.0)
+        heading = phrase(
+            ["Date", "Narration", "Withdrawal", "Deposit", "Balance"], [50.0, 120.0, 260.0, 340.0, 450.0], 120.0
+        )
+        page_no, pages = F.col("page").cast("string"), F.col("n_pages").cast("string")
+        footer = [
+            word(F.lit("Page"), 50, 780),
+            word(page_no, 75, 780),
+            word(F.lit("of"), 85, 780),
+            word(pages, 100, 780),
+            *phrase(["Computer", "Generated", "Statement"], [110.0, 155.0, 205.0], 780.0),
+        ]
+        line = F.filter(
+            F.array(
+                word(F.date_format("transaction_date", "dd/MM/yyyy"), 50, y),
+                word(F.format_number("debit", 2), 265, y),
+                word(F.format_number("credit", 2), 345, y),
+                word(F.format_number("balance", 2), 455, y),
+            ),
+            lambda w: w["text"].isNotNull(),
+        )
+        body = F.transform(F.sequence(F.lit(0), size - 1), narration)
+        everything = F.concat(
+            F.when(top, titles).otherwise(F.slice(titles, 1, 0)),
+            when_all(top, account),
+            when_all(top, opening),
+            when_all(first, heading),
+            line,
+            body,
+            when_all(first, footer),
+        )
+        return self.clean_rows.select(
+            F.col("source_file_id").alias("file_id"),
+            "page",
+            F.lit(595.0).alias("page_width"),
+            F.lit(842.0).alias("page_height"),
+            F.inline(everything),
+        )
+
     @cached_property
     def job_events(self) -> DataFrame:
         stage = (
