@@ -238,3 +238,34 @@ def first_discrepancies(rows: DataFrame, key: str, limit: int, hot: Hot | None =
     kept = F.slice("_issues", 1, F.least(room, F.size("_issues")).cast("int"))
     lists = F.sort_array(F.collect_list(F.struct("row_no", kept.alias("kept"))))
     return out.groupBy(key).agg(F.array_join(F.flatten(lists["kept"]), ",").alias("first_two"))
+
+
+def penalty_confidence(date_ok: Column) -> Column:
+    """Row confidence that starts at 0.95 and loses a fixed amount per weakness, within 0.1 and 1."""
+    from ledgerspark.functions.text import is_blank
+
+    no_amount = F.coalesce(F.col("amount") <= 0, F.lit(True))
+    sided = F.col("debit").isNotNull() | F.col("credit").isNotNull()
+    weak = [
+        (~date_ok, 0.30),
+        (no_amount, 0.30),
+        (F.col("transaction_type").isNull(), 0.25),
+        (F.col("balance").isNull(), 0.20),
+        (is_blank(F.col("description")), 0.15),
+        ((F.col("balance_status") == MISMATCH) & sided, 0.10),
+    ]
+    score = F.lit(0.95)
+    for cond, loss in weak:
+        score = score - F.when(cond, loss).otherwise(0.0)
+    return F.greatest(F.lit(0.10), F.least(F.lit(1.0), score))
+
+
+def capped_confidence(start: Column, date_ok: Column) -> Column:
+    """Row confidence capped by its worst weakness: 0.5 without date or side, 0.6 with both sides."""
+    d, c = F.col("debit").isNotNull(), F.col("credit").isNotNull()
+    return F.least(
+        start,
+        F.when(~date_ok, 0.5).otherwise(1.0),
+        F.when(~d & ~c, 0.5).otherwise(1.0),
+        F.when(d & c, 0.6).otherwise(1.0),
+    )

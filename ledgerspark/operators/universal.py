@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from ledgerspark.operators.ordered import (
     with_group,
     with_ordered,
 )
+from ledgerspark.operators.words import build_lines, to_lines
+from ledgerspark.session import checkpointed
 
 ENGINE = "Universal-v2-extraction"
 REVIEW_REQUIRED, COMPLETED = 6, 2
@@ -487,25 +491,70 @@ def match_fingerprints(new: DataFrame, store: DataFrame) -> DataFrame:
 
 
 class UniversalParse:
-    """The chain over all files; each stage is a lazy DataFrame on the same ``file_id`` partitioning."""
+    """The chain over all files; each stage is built on first use.
 
-    def __init__(self, words: DataFrame, hot: Hot | None = None):
-        from ledgerspark.operators import words as Wd
+    Many stages read the lines, so ``save_lines`` writes them once to the shared checkpoint folder: the words are
+    sorted and grouped once, and a lost executor costs only its own tasks.
+    """
 
-        self.hot = hot
+    def __init__(self, words: DataFrame, hot: Hot | None = None, save_lines: bool = True):
         self.words = words
-        self.lined = Wd.to_lines(words, hot)
-        self.lines = Wd.build_lines(self.lined, hot)
-        self.headers = best_header(self.lines)
-        self.tokens = header_tokens(self.headers, hot)
-        self.layouts = detect_columns(self.tokens)
-        self.structure = analyze_structure(self.lines, self.layouts)
-        self.balances = scan_balances(self.lines)
-        self.bounded = with_page_bounds(self.lines, self.structure.filter("is_sufficient"), hot)
-        self.segmented = segment_rows(self.bounded, hot)
-        self.cell_words = words_in_columns(self.segmented)
-        self.cells = extract_cells(self.cell_words)
-        self.transactions = build_transactions(self.cells, self.balances, hot)
-        self.verdicts = judge(self.transactions, self.balances, hot)
-        self.scores = confidence(self.structure, self.verdicts)
-        self.routed = route(self.scores)
+        self.hot = hot
+        self.save_lines = save_lines
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        lines = build_lines(to_lines(self.words, self.hot), self.hot)
+        return checkpointed(lines) if self.save_lines else lines
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return best_header(self.lines)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return header_tokens(self.headers, self.hot)
+
+    @cached_property
+    def layouts(self) -> DataFrame:
+        return detect_columns(self.tokens)
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        return analyze_structure(self.lines, self.layouts)
+
+    @cached_property
+    def balances(self) -> DataFrame:
+        return scan_balances(self.lines)
+
+    @cached_property
+    def bounded(self) -> DataFrame:
+        return with_page_bounds(self.lines, self.structure.filter("is_sufficient"), self.hot)
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        return segment_rows(self.bounded, self.hot)
+
+    @cached_property
+    def cell_words(self) -> DataFrame:
+        return words_in_columns(self.segmented)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return extract_cells(self.cell_words)
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return build_transactions(self.cells, self.balances, self.hot)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return judge(self.transactions, self.balances, self.hot)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return confidence(self.structure, self.verdicts)
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        return route(self.scores)

@@ -60,6 +60,11 @@ def parse(led: Ledger) -> U.UniversalParse:
     return U.UniversalParse(led.words, led.hot)
 
 
+def headings(led: Ledger) -> U.UniversalParse:
+    """For queries that read the lines once."""
+    return U.UniversalParse(led.words, led.hot, save_lines=False)
+
+
 @query("words_flatten", "SELECT file_id, page, x, y, width, text FROM doc_words")
 def words_flatten(led: Ledger) -> DataFrame:
     """Statements written as one nested JSON document per page, read back and flattened."""
@@ -155,7 +160,7 @@ def candidate_table(led: Ledger) -> DataFrame:
     "SELECT file_id, line_no, 5 AS score FROM doc_lines WHERE page = 1 AND y = 120",
 )
 def best_header_row(led: Ledger) -> DataFrame:
-    return parse(led).headers.select("file_id", "line_no", "score")
+    return headings(led).headers.select("file_id", "line_no", "score")
 
 
 @query(
@@ -164,7 +169,7 @@ def best_header_row(led: Ledger) -> DataFrame:
  (2, 'Narration', 120.0), (3, 'Withdrawal', 260.0), (4, 'Deposit', 340.0), (5, 'Balance', 450.0)) w(k, p, x)""",
 )
 def header_tokens(led: Ledger) -> DataFrame:
-    return parse(led).tokens.select("file_id", "token_no", "phrase", "left_x")
+    return headings(led).tokens.select("file_id", "token_no", "phrase", "left_x")
 
 
 COLUMNS_SQL = """SELECT DISTINCT file_id, w.i AS column_index, w.t AS column_type, w.l AS left_x, w.r AS right_x, 0.9 AS confidence
@@ -174,17 +179,17 @@ COLUMNS_SQL = """SELECT DISTINCT file_id, w.i AS column_index, w.t AS column_typ
 
 @query("detect_columns", COLUMNS_SQL)
 def detect_columns(led: Ledger) -> DataFrame:
-    return parse(led).layouts.select("file_id", F.inline("columns")).drop("header_text")
+    return headings(led).layouts.select("file_id", F.inline("columns")).drop("header_text")
 
 
 @query("column_edges", f"SELECT file_id, column_index, right_x FROM ({COLUMNS_SQL})")
 def column_edges(led: Ledger) -> DataFrame:
-    return parse(led).layouts.select("file_id", F.inline("columns")).select("file_id", "column_index", "right_x")
+    return headings(led).layouts.select("file_id", F.inline("columns")).select("file_id", "column_index", "right_x")
 
 
 @query("columns_monotonic", "SELECT DISTINCT file_id, true AS is_monotonic FROM doc_lines")
 def columns_monotonic(led: Ledger) -> DataFrame:
-    return parse(led).layouts.select("file_id", U.columns_monotonic(F.col("columns")).alias("is_monotonic"))
+    return headings(led).layouts.select("file_id", U.columns_monotonic(F.col("columns")).alias("is_monotonic"))
 
 
 @query(
@@ -216,7 +221,7 @@ def page_bounds(led: Ledger) -> DataFrame:
     "SELECT DISTINCT file_id, 10000.00 AS opening_balance, CAST(NULL AS DECIMAL(18,2)) AS closing_balance FROM doc_lines",
 )
 def scan_balances(led: Ledger) -> DataFrame:
-    return parse(led).balances
+    return headings(led).balances
 
 
 SEGMENT_SQL = """SELECT source_file_id AS file_id, row_no AS row_index, page AS row_page,
@@ -335,7 +340,7 @@ PRINT_SQL = """sha256('Date,Description,Debit,Credit,Balance|0.08,0.20,0.44,0.57
 
 @query("layout_fingerprint", f"SELECT DISTINCT file_id, {PRINT_SQL} AS fingerprint, 5 AS column_count FROM doc_lines")
 def layout_fingerprint(led: Ledger) -> DataFrame:
-    return U.fingerprints(parse(led).layouts).select("file_id", "fingerprint", "column_count")
+    return U.fingerprints(headings(led).layouts).select("file_id", "fingerprint", "column_count")
 
 
 @query(
@@ -344,7 +349,7 @@ def layout_fingerprint(led: Ledger) -> DataFrame:
  FROM doc_lines""",
 )
 def fingerprint_store(led: Ledger) -> DataFrame:
-    out = U.store_fingerprints(None, U.fingerprints(parse(led).layouts))
+    out = U.store_fingerprints(None, U.fingerprints(headings(led).layouts))
     return out.select("fingerprint", "usage_count", "first_file_id")
 
 
@@ -354,5 +359,5 @@ def fingerprint_store(led: Ledger) -> DataFrame:
  FROM doc_lines""",
 )
 def fingerprint_match(led: Ledger) -> DataFrame:
-    new = U.fingerprints(parse(led).layouts)
+    new = U.fingerprints(headings(led).layouts)
     return U.match_fingerprints(new, U.store_fingerprints(None, new)).select("file_id", "is_known", "known_usage")
