@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from ledgerspark.plans.registry import ORACLES, QUERIES  # noqa: F401
-from ledgerspark.plans import books, ledger, listing, parsing, reviewing, scalars  # noqa: F401,E402
+from ledgerspark.plans import books, detecting, ledger, listing, parsing, reviewing, scalars  # noqa: F401,E402

@@ -9,7 +9,7 @@ from ledgerspark.functions import parse as P
 from ledgerspark.operators import universal as U
 from ledgerspark.operators import words as Wd
 from ledgerspark.plans.registry import cte, query
-from ledgerspark.sources.bridge import BANK_TITLES, ROWS_PER_PAGE, Ledger
+from ledgerspark.sources.bridge import BANK_TITLES, LEGEND, ROWS_PER_PAGE, Ledger
 
 _TITLES = ", ".join("'" + t + "'" for t in BANK_TITLES)
 cte(
@@ -23,9 +23,13 @@ cte(
     "doc_words",
     f"""SELECT file_id, page, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, length(t) * 5.0::DOUBLE AS width, 8.0::DOUBLE AS height,
  t AS text FROM (
- SELECT source_file_id file_id, page, 50 + 70 * (u.i - 1) x, 40 y, string_split(([{_TITLES}])[1 + bank_code % 11], ' ')[u.i] t
-  FROM clean_rows, (SELECT unnest(range(1, 12)) i) u WHERE row_no = 1
-  AND u.i <= len(string_split(([{_TITLES}])[1 + bank_code % 11], ' '))
+ SELECT source_file_id file_id, page, 50 + 5 * (length(array_to_string(string_split(s.t, ' ')[1:u.i - 1], ' '))
+  + CASE WHEN u.i > 1 THEN 1 ELSE 0 END) x, s.y, string_split(s.t, ' ')[u.i] t FROM clean_rows,
+  LATERAL (VALUES (40, ([{_TITLES}])[1 + bank_code % 11]),
+  (50, CASE WHEN bank_code IN (1, 99) THEN 'CITY OFFICE' ELSE '{LEGEND}' END),
+  (68, 'From ' || strftime(transaction_date, '%d/%m/%Y') || ' To ' || strftime(value_date, '%d/%m/%Y')),
+  (76, 'MR CLIENT ' || client_id || ' :')) s(y, t), (SELECT unnest(range(1, 20)) i) u
+  WHERE row_no = 1 AND u.i <= len(string_split(s.t, ' '))
  UNION ALL SELECT source_file_id, page, w.x, w.y, coalesce(w.t, lpad(CAST(client_id + 1000000 AS VARCHAR), 12, '4'))
   FROM clean_rows, (VALUES (50, 60, 'Account'), (90, 60, 'Number'), (130, 60, NULL), (50, 90, 'Opening'),
   (90, 90, 'Balance'), (455, 90, '10,000.00')) w(x, y, t) WHERE row_no = 1

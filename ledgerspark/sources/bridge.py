@@ -29,6 +29,8 @@ BANK_TITLES = [
     "BANK OF BARODA BARB0TRDABC statement",
 ]
 
+LEGEND = "Transaction Date Value Date Particulars Cheque Debit Credit Withdrawals Deposits Post Details SNO"
+
 LINE_ORDER = [
     "l_shipdate",
     "l_linenumber",
@@ -383,7 +385,25 @@ class Ledger:
             return word(F.get(parts, i), x, y + F.when(moved, 10.0).otherwise(0.0))
 
         title = F.get(F.array(*[F.lit(t) for t in BANK_TITLES]), F.col("bank_code") % 11)
-        titles = F.transform(F.split(title, " "), lambda w, i: word(w, F.lit(50.0) + i * 70, 40))
+        def sentence(text: Column, top_y: float) -> Column:
+            words = F.split(text, " ")
+
+            def place(w: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(words, 1, i), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
+                return word(w, F.lit(50.0) + before * 5.0, top_y)
+
+            return F.transform(words, place)
+
+        legend = F.when(F.col("bank_code").isin(1, 99), F.lit("CITY OFFICE")).otherwise(F.lit(LEGEND))
+        period = F.concat_ws(
+            " ",
+            F.lit("From"),
+            F.date_format("transaction_date", "dd/MM/yyyy"),
+            F.lit("To"),
+            F.date_format("value_date", "dd/MM/yyyy"),
+        )
+        holder = F.concat(F.lit("MR CLIENT "), F.col("client_id").cast("string"), F.lit(" :"))
+        titles = F.concat(sentence(title, 40), sentence(legend, 50), sentence(period, 68), sentence(holder, 76))
         account = [
             word(F.lit("Account"), 50, 60),
             word(F.lit("Number"), 90, 60),
