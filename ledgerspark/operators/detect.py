@@ -427,7 +427,9 @@ def detect(scored: DataFrame) -> DataFrame:
     period = per_bank(period_of)
     out = out.withColumns(
         {
-            "confidence": F.coalesce(F.round(F.least(F.lit(1.0), per_bank(proof)), 4), F.lit(0.0)),
+            "confidence": F.when(
+                F.col("bank").isNotNull(), F.round(F.least(F.lit(1.0), per_bank(proof)), 4)
+            ).otherwise(F.lit(0.0)),
             "account_number": F.coalesce(per_bank(account_of), account_of("hdfc")),
             "period_start": F.coalesce(period["start"], fallback["start"]),
             "period_end": F.coalesce(period["end"], fallback["end"]),
