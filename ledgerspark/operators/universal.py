@@ -205,14 +205,8 @@ def date_in_column(left: Column, right: Column) -> Column:
     )
 
 
-def segment_rows(
-    bounded: DataFrame, hot: Hot | None = None, across_pages: bool = False, max_gap: float = 45.0
-) -> DataFrame:
-    """Lines of each transaction row: a date opens a row, close lines below continue it.
-
-    After a gap of ``max_gap`` the rest of the row's lines drop out until the next date. With ``across_pages`` an
-    open row goes on over a page break.
-    """
+def table_lines(bounded: DataFrame) -> DataFrame:
+    """Lines inside the table without headings and summaries, with the date token each shows in its date column."""
     y, text = F.col("y"), F.col("line_text")
     kept = bounded.filter(
         (y >= F.col("top_bound") - 2.0)
@@ -224,7 +218,19 @@ def segment_rows(
     date_column = F.get(F.filter("columns", lambda c: c["column_type"] == "Date"), F.lit(0))
     left = F.coalesce(date_column["left_x"], F.lit(0.0))
     right = F.coalesce(date_column["right_x"] + 25.0, F.lit(150.0))
-    kept = kept.withColumn("date_text", date_in_column(left, right))
+    return kept.withColumn("date_text", date_in_column(left, right))
+
+
+def segment_rows(
+    bounded: DataFrame, hot: Hot | None = None, across_pages: bool = False, max_gap: float = 45.0
+) -> DataFrame:
+    """Lines of each transaction row: a date opens a row, close lines below continue it.
+
+    After a gap of ``max_gap`` the rest of the row's lines drop out until the next date. With ``across_pages`` an
+    open row goes on over a page break.
+    """
+    y = F.col("y")
+    kept = table_lines(bounded)
     dated = F.col("date_text").isNotNull()
     kept = kept.withColumns({"_d": dated.cast("int"), "_dp": F.when(dated, F.col("page"))})
     order = ["line_no"]

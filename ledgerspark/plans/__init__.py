@@ -3,4 +3,14 @@
 from __future__ import annotations
 
 from ledgerspark.plans.registry import ORACLES, QUERIES  # noqa: F401
-from ledgerspark.plans import books, detecting, ledger, listing, parsing, reviewing, scalars, streams  # noqa: F401,E402
+from ledgerspark.plans import (  # noqa: F401,E402
+    books,
+    detecting,
+    ledger,
+    listing,
+    parsing,
+    profiled,
+    reviewing,
+    scalars,
+    streams,
+)
