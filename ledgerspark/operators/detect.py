@@ -399,6 +399,16 @@ def name_of(bank: str) -> Column:
     return F.nullif(strip(F.regexp_extract("text", "(?i)" + pattern, group)), F.lit(""))
 
 
+def route(decided: DataFrame) -> DataFrame:
+    """Bank code and parser profile of a decided file; ``universal`` when no bank won."""
+    codes = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    out = decided.withColumn("bank_code", F.coalesce(F.try_element_at(codes, F.col("bank")), F.lit(0)))
+    version = code_case(F.col("bank_code"), {c: v for c, _, v in BANKS}, "universal")
+    return out.withColumn(
+        "profile", F.when((F.col("bank") == "icici") & F.col("icici_is_v2"), "ICICI-v2").otherwise(version)
+    )
+
+
 def detect(scored: DataFrame) -> DataFrame:
     """Bank, confidence, account, period and customer name per file; the bank's own patterns come first."""
     out = decide(scored)
@@ -435,12 +445,6 @@ def detect(scored: DataFrame) -> DataFrame:
             "period_end": F.coalesce(period["end"], fallback["end"]),
             "customer_name": F.coalesce(per_bank(name_of), name_of("hdfc")),
             "is_supported": F.col("bank").isNotNull(),
-            "bank_code": F.coalesce(
-                F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), F.col("bank")), F.lit(0)
-            ),
         }
     )
-    version = code_case(F.col("bank_code"), {c: v for c, _, v in BANKS}, "universal")
-    return out.withColumn(
-        "profile", F.when((F.col("bank") == "icici") & F.col("icici_is_v2"), "ICICI-v2").otherwise(version)
-    )
+    return route(out)

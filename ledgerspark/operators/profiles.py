@@ -12,7 +12,7 @@ from ledgerspark.functions.text import strip
 from ledgerspark.model import MONEY
 from ledgerspark.operators import continuity as C
 from ledgerspark.operators import universal as U
-from ledgerspark.operators.ordered import Hot, lag, last_before, last_upto, lead, running_sum, with_ordered
+from ledgerspark.operators.ordered import Hot, lag, last_before, last_upto, running_sum, with_ordered
 from ledgerspark.session import checkpointed
 
 
@@ -306,17 +306,25 @@ def prefix_suffix(lines: DataFrame, hot: Hot | None = None) -> DataFrame:
     return rows.select("file_id", "page", "line_no", (F.col("_rows") + F.col("mark")).alias("row_index"))
 
 
-def staggered_dates(dates: DataFrame, hot: Hot | None = None, reach: float = 12.0) -> DataFrame:
-    """Anchors with their value date: a date line less than ``reach`` below the anchor is its value date.
+def staggered_dates(dates: DataFrame, reach: float = 12.0) -> DataFrame:
+    """Anchors with their value date: a date line less than ``reach`` below the last anchor is its value date."""
+    dates = dates.withColumn("line_no", F.col("y"))
+    zero = F.struct(F.lit(-1e9).alias("y"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("marks"))
 
-    Compared with the date line before, so no three date lines may lie within ``reach`` of each other.
-    """
-    keys, order = ["file_id", "page"], ["y"]
-    out = with_ordered(dates, keys, order, {"_up": lag(F.col("y")), "_next": lead(F.struct("y", "day"))}, hot)
-    anchor = F.col("_up").isNull() | (F.col("y") - F.col("_up") >= reach)
-    follows = F.col("_next")["y"] - F.col("y") < reach
-    value = F.when(follows, F.col("_next")["day"]).otherwise(F.col("day"))
-    return out.filter(anchor).select("file_id", "page", "y", "day", value.alias("value_day"))
+    def step(acc: Column, ln: Column) -> Column:
+        fresh = ln["y"] - acc["y"] >= reach
+        no = acc["no"] + fresh.cast("int")
+        return F.struct(
+            F.when(fresh, ln["y"]).otherwise(acc["y"]).alias("y"),
+            no.alias("no"),
+            F.concat(acc["marks"], F.array(no)).alias("marks"),
+        )
+
+    marks = _fold_pages(dates, ["y"], zero, step)
+    rows = dates.join(marks, ["file_id", "page", "line_no"])
+    return rows.groupBy("file_id", "page", "mark").agg(
+        F.min("y").alias("y"), F.min_by("day", "y").alias("day"), F.max_by("day", "y").alias("value_day")
+    ).drop("mark")
 
 
 def amounts_by_position(words: DataFrame, min_x: float = 340.0, split_x: float = 425.0, end_x: float = 500.0) -> DataFrame:
@@ -381,7 +389,8 @@ def parse_profiles(run: U.UniversalParse, routed: DataFrame) -> DataFrame:
     """
     from functools import reduce
 
-    known = routed.filter(F.col("profile") != "universal").select("file_id", "profile")
+    # The routing carries every detection pattern in its plan; the saved table is two short columns.
+    known = checkpointed(routed.filter(F.col("profile") != "universal").select("file_id", "profile"))
     # Five boundary rules read these lines, so they are written once.
     lines = checkpointed(U.table_lines(run.bounded).join(known, "file_id"))
     edges = calibrate(run.headers, known).join(run.layouts.select("file_id", "columns"), "file_id", "left")
@@ -394,7 +403,7 @@ def parse_profiles(run: U.UniversalParse, routed: DataFrame) -> DataFrame:
     for (boundary, lead_pt), names in groups.items():
         part = rows_by_boundary(lines.filter(F.col("profile").isin(*names)), boundary, lead_pt, run.hot)
         parts.append(part.select("file_id", "row_index", "row_page", "line_date", "x", "y", "text"))
-    words = reduce(DataFrame.unionByName, parts).join(edges, "file_id")
+    words = checkpointed(reduce(DataFrame.unionByName, parts)).join(checkpointed(edges), "file_id")
     words = words.withColumn("column_type", column_from(F.col("edges"), F.col("x"))).drop("edges")
     rows = U.build_transactions(U.extract_cells(words), run.balances, run.hot)
     rows = rows.drop("parser_version").join(known.withColumnRenamed("profile", "parser_version"), "file_id")

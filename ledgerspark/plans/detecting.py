@@ -180,4 +180,4 @@ def extract_customer_name(led: Ledger) -> DataFrame:
  WHEN 'bob' THEN 'BOB-v1' ELSE 'universal' END AS profile FROM bank_decisions""",
 )
 def parser_route(led: Ledger) -> DataFrame:
-    return D.detect(scored(led)).select("file_id", "profile")
+    return D.route(D.decide(scored(led))).select("file_id", "profile")
