@@ -258,17 +258,21 @@ def file_texts(lines: DataFrame, pages: int = 4) -> DataFrame:
 
 
 def signal_flags(texts: DataFrame) -> DataFrame:
-    """One struct ``h`` of flags per file; every pattern is tested once."""
-    flags = [
-        F.col("text").rlike("(?i)" + pattern).alias(f"{bank}_{signal}")
+    """Names of the signals found per file, as one array ``h``.
+
+    An array that is searched by name stays a column of its own in the plan; a struct of flags would be folded into
+    every use and each pattern tested again and again.
+    """
+    found = [
+        F.when(F.col("text").rlike("(?i)" + pattern), F.lit(f"{bank}_{signal}"))
         for bank, rules in SIGNALS.items()
         for signal, pattern, _, _ in rules
     ]
-    return texts.select("file_id", "text", F.struct(*flags).alias("h"))
+    return texts.select("file_id", "text", F.array_compact(F.array(*found)).alias("h"))
 
 
 def _h(name: str) -> Column:
-    return F.col("h")[name]
+    return F.array_contains("h", name)
 
 
 def _count(*names: str) -> Column:

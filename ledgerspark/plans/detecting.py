@@ -113,12 +113,10 @@ def scored(led: Ledger) -> DataFrame:
 )
 def bank_signals(led: Ledger) -> DataFrame:
     flags = D.signal_flags(D.file_texts(headings(led).lines))
-    items = [
-        F.when(F.col("h")[f"{b}_{s}"], F.struct(F.lit(b).alias("bank"), F.lit(s).alias("signal")))
-        for b, rules in D.SIGNALS.items()
-        for s, *_ in rules
-    ]
-    return flags.select("file_id", F.inline(F.array_compact(F.array(*items))))
+    name = F.explode("h").alias("name")
+    out = flags.select("file_id", name)
+    bank = F.substring_index("name", "_", 1)
+    return out.select("file_id", bank.alias("bank"), F.expr("substring(name, length(substring_index(name, '_', 1)) + 2)").alias("signal"))
 
 
 @query("bank_scores", "SELECT file_id, " + ", ".join(f"{b}_score" for b in D.SIGNALS) + " FROM bank_score_rows")
