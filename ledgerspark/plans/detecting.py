@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators import detect as D
 from ledgerspark.plans.parsing import headings
 from ledgerspark.plans.registry import cte, query
+from ledgerspark.session import checkpointed
 from ledgerspark.sources.bridge import Ledger
 
 
@@ -100,7 +101,8 @@ cte("bank_decisions", f"SELECT *, {_DECISION} bank FROM bank_score_rows")
 
 
 def scored(led: Ledger) -> DataFrame:
-    return D.score_files(D.signal_flags(D.file_texts(headings(led).lines)))
+    """One saved row per file: the decision compares every score many times, and must not score again each time."""
+    return checkpointed(D.score_files(D.signal_flags(D.file_texts(headings(led).lines))))
 
 
 @query(
