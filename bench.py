@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from ledgerspark.plans import QUERIES
@@ -29,8 +30,6 @@ HEADLINE = [
     "correction_apply",
     "export_financial_summary",
     "words_to_lines",
-    "bank_detect",
-    "universal_parse",
 ]
 
 
@@ -54,6 +53,7 @@ def main() -> None:
         start = time.time()
         QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[key] = round(time.time() - start, 3)
+        print(key, times[key], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

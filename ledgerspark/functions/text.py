@@ -12,7 +12,8 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """Null or nothing but white space; the search stops at the first other character."""
+    return ~F.coalesce(F.rlike(c if isinstance(c, Column) else F.col(c), F.lit(r"(?U)\S")), F.lit(False))
 
 
 def normalize_ws(c: Column | str) -> Column:
