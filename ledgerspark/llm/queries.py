@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import simhash
+from ledgerspark.llm import bpe, html, language, lines, packing, secrets, simhash
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,43 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup", lines.SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents dropped everywhere."""
+    return lines.digest(lines.line_dedup(table(spark, sf_dir, "documents")))
+
+
 @query("op5_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest linked doc_id of each document, by 4-word SimHash at 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document and their decoded text, as digests."""
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents")))
+
+
+@query("op7_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those that are not held out."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
