@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, html, language, lines, packing, secrets, simhash
+from ledgerspark.llm import bpe, html, language, lines, order_minhash, packing, secrets, simhash
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.line_dedup(table(spark, sf_dir, "documents")))
 
 
+@query("op3_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of each document, its edited text and the next document."""
+    return order_minhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest linked doc_id of each document, by 4-word SimHash at 4 bits."""
