@@ -28,11 +28,14 @@ KEY_ROWS = 100_000
 CHUNK = 1 << 20
 
 
-def simhash(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles, repeats counted; no words: 0; fewer words than asked: one shingle."""
+def simhash(text: bytes, words: int = 4, seed: int = 42, lanes: int = 1) -> list[int]:
+    """SimHash of the word shingles in lanes of 64 bits, repeats counted; no words: 0; fewer words than asked: one shingle.
+
+    The first lane is of XXH64 itself, each further one of the same hashes mixed with another odd factor.
+    """
     parts = text.translate(_LOWER).split()
     if not parts:
-        return 0
+        return [0] * lanes
     line = b" ".join(parts)
     size = min(words, len(parts))
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
@@ -40,23 +43,34 @@ def simhash(text: bytes, words: int = 4, seed: int = 42) -> int:
     spans = zip(starts[: len(parts) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     one = xxhash.xxh64_intdigest
     hashes = np.fromiter((one(line[s:e], seed) for s, e in spans), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
-
-
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``, one row per row of ``docs``; fp is the fingerprint as a signed long. Null text: no words."""
+    out = []
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            own = hashes[at : at + CHUNK]
+            if lane:
+                own = (own ^ (own >> np.uint64(29 + lane % 8))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
+                own = (own ^ (own >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                own ^= own >> np.uint64(31)
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, lanes: int = 1) -> DataFrame:
+    """``(doc_id, w0, w1, ...)``, one row per row of ``docs``; lanes as signed longs. Null text: no words."""
+    names = [f"w{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            fps = np.fromiter((simhash(t.as_py() or b"", words, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            made = np.array([simhash(t.as_py() or b"", words, seed, lanes) for t in texts], np.uint64).reshape(-1, lanes)
+            columns = [pa.array(np.ascontiguousarray(made[:, i]).view(np.int64)) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *[f"{n} long" for n in names]])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def plan_segments(entries: int, radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
@@ -79,36 +93,44 @@ def plan_segments(entries: int, radius: int, bits: int = 64) -> list[tuple[int,
     return min((layout(parts) for parts in range(1, radius + 2) if parts > radius / 3), key=cost)
 
 
-def _span(owned: np.ndarray, asking: np.ndarray, radius: int) -> list[np.ndarray]:
-    """A spanning forest of the links between owned ones and all others of a key.
+def estimated_radius(similarity: float, bits: int) -> int:
+    """Differing bits up to which two shingle sets may have the given Jaccard similarity: the expected number and one deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _apart(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(1, dtype=np.int64)
+
+
+def _span(rows: np.ndarray, n_own: int, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest, as row numbers, of the links between the first ``n_own`` rows of a key and all its rows.
 
     Breadth first over what is not yet reached, so a dense group costs about one comparison per member.
     """
-    found: list[np.ndarray] = []
-    own, ask = owned, asking
+    found = []
+    own, ask = np.arange(n_own), np.arange(n_own, len(rows))
     while len(own):
         queue, own = [(own[0], True)], own[1:]
         while queue and (len(own) or len(ask)):
             at, is_own = queue.pop()
-            near = np.bitwise_count(own ^ at) <= radius
-            hits = own[near]
-            if len(hits):
+            near = _apart(rows[own], rows[at]) <= radius
+            if near.any():
+                found.append((np.full(near.sum(), at), own[near]))
+                queue += [(x, True) for x in own[near]]
                 own = own[~near]
-                found.append(np.stack([np.full(len(hits), at), hits]))
-                queue += [(x, True) for x in hits]
             if is_own and len(ask):
-                near = np.bitwise_count(ask ^ at) <= radius
-                hits = ask[near]
-                if len(hits):
+                near = _apart(rows[ask], rows[at]) <= radius
+                if near.any():
+                    found.append((np.full(near.sum(), at), ask[near]))
+                    queue += [(x, False) for x in ask[near]]
                     ask = ask[~near]
-                    found.append(np.stack([np.full(len(hits), at), hits]))
-                    queue += [(x, False) for x in hits]
     return found
 
 
-def _pairs(keys: np.ndarray, owned: np.ndarray, fps: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links between the owned and all rows of each key; rows are sorted by key, owned ones first."""
-    found: list[np.ndarray] = []
+def _pairs(keys: np.ndarray, owned: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of links between the owned and all rows of each key; rows are sorted by key, owned ones first."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     if not len(keys):
         return found
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -118,105 +140,151 @@ def _pairs(keys: np.ndarray, owned: np.ndarray, fps: np.ndarray, radius: int) ->
     small = np.flatnonzero((todo > 0) & (todo <= 256))
     for at in range(0, len(small), 4096):
         some = small[at : at + 4096]
-        first = np.repeat(starts[some], n_own[some] * sizes[some])
-        width = np.repeat(sizes[some], n_own[some] * sizes[some])
-        ends = np.cumsum(n_own[some] * sizes[some])
-        step = np.arange(ends[-1]) - np.repeat(ends - n_own[some] * sizes[some], n_own[some] * sizes[some])
-        a, b = fps[first + step // width], fps[first + step % width]
-        hit = (a != b) & (np.bitwise_count(a ^ b) <= radius)
-        found.append(np.stack([a[hit], b[hit]]))
+        count = n_own[some] * sizes[some]
+        ends = np.cumsum(count)
+        first, width = np.repeat(starts[some], count), np.repeat(sizes[some], count)
+        step = np.arange(ends[-1]) - np.repeat(ends - count, count)
+        a, b = first + step // width, first + step % width
+        hit = (a != b) & (_apart(fps[a], fps[b]) <= radius)
+        found.append((a[hit], b[hit]))
     for g in np.flatnonzero(todo > 256).tolist():
-        rows = fps[starts[g] : starts[g] + sizes[g]]
-        found += _span(rows[: n_own[g]], rows[n_own[g] :], radius)
+        part = _span(fps[starts[g] : starts[g] + sizes[g]], int(n_own[g]), radius)
+        found += [(starts[g] + a, starts[g] + b) for a, b in part]
     return found
 
 
-def links(prints: DataFrame, radius: int = 4, key_rows: int = KEY_ROWS) -> DataFrame:
-    """``(a, b)`` between distinct fingerprints at ``radius`` or fewer bits, enough of them to connect every such pair.
+def _entries(part: int, low: int, width: int, own: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, owned, row)`` of one segment of all fingerprints: their own values, then what they ask for."""
+    lane, off = divmod(low, 64)
+    value = fps[:, lane] >> np.uint64(off)
+    if off + width > 64:
+        value = value | (fps[:, lane + 1] << np.uint64(64 - off))
+    if width < 64:
+        value = (value & np.uint64((1 << width) - 1)) | np.uint64(part << 58)
+    rows = np.arange(len(fps))
+    keys, at = [value], [rows]
+    for size in range(1, own + 1):
+        for flips in combinations(range(width), size):
+            mask = np.uint64(sum(1 << i for i in flips))
+            asks = (value & mask != 0) if own == 1 else np.ones(len(fps), bool)
+            keys.append(value[asks] ^ mask)
+            at.append(rows[asks])
+    row = np.concatenate(at)
+    return np.concatenate(keys), np.arange(len(row)) < len(fps), row
+
+
+def _entered(prints: DataFrame, lanes: list[str], plan: list[tuple[int, int, int]]) -> DataFrame:
+    """``(key, owned, node, lanes)``: each fingerprint under the keys of all segments."""
+    fields = ["key", "owned", "node", *lanes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1000).columns]
+                fps = np.stack(some[1:], axis=1).view(np.uint64)
+                made = [_entries(part, *of, fps) for part, of in enumerate(plan)]
+                key, owned, row = (np.concatenate(x) for x in zip(*made, strict=True))
+                columns = [key.view(np.int64), owned, *(c[row] for c in some)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], fields)
+
+    kinds = ", ".join(["key long", "owned boolean", "node long", *[f"{c} long" for c in lanes]])
+    return prints.select("node", *lanes).mapInArrow(run, kinds)
 
-    ``prints`` holds distinct longs ``fp``. Of a group that is alike throughout, a spanning set of links is given, not
-    all pairs. A table key with more than ``key_rows`` rows is dealt out in pairs of blocks, so nothing is skipped.
+
+def links(prints: DataFrame, radius: int, plan: list[tuple[int, int, int]], key_rows: int = KEY_ROWS) -> DataFrame:
+    """``(a, b)`` between nodes whose fingerprints differ in at most ``radius`` bits, enough of them to connect every pair found.
+
+    ``prints`` holds ``node`` (long) and the lanes, each fingerprint once. For every segment of ``plan`` a fingerprint is entered under
+    its own value and asks under the values of its ball; in balls of one bit, set bits are cleared and never the reverse, so that of two
+    values one bit apart just one asks. Of a group that is alike throughout, a spanning set of links is given, not all pairs. A key with
+    more than ``key_rows`` rows is dealt out in pairs of blocks, so nothing is skipped.
     """
-    plan = plan_segments(prints.count(), radius)
-    fp = F.col("fp")
-    entries = []
-    for part, (low, width, own) in enumerate(plan):
-        seg = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else fp
-        for size in range(own + 1):
-            for flips in combinations(range(width), size):
-                mask = sum(1 << i for i in flips)
-                mask -= (mask >> 63) << 64
-                entries.append(
-                    F.struct(
-                        F.lit(part).alias("part"), seg.bitwiseXOR(F.lit(mask)).alias("value"), F.lit(not flips).alias("owned")
-                    )
-                )
-    rows = prints.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.*")
-    owned = rows.where("owned")
-    full = owned.groupBy("part", "value").count().where(F.col("count") > key_rows // 16)
-    hot = stored(full.select("part", "value"), "hot-keys")
-    if hot.isEmpty():
-        rows = rows.withColumn("cell", F.lit(0))
-    else:
-        rows = _in_blocks(rows, hot, key_rows)
+    lanes = [c for c in prints.columns if c != "node"]
+    rows = _entered(prints, lanes, plan)
+    own_plan = [(low, width, 0) for low, width, _ in plan]
+    full = _entered(prints, lanes, own_plan).groupBy("key").count().where(F.col("count") > key_rows // 16)
+    hot = stored(full.select("key"), "hot-keys")
+    rows = rows.withColumn("cell", F.lit(0)) if hot.isEmpty() else _in_blocks(rows, hot, key_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            own = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            kept.append((key, own, fps))
-            if key[0] == key[-1]:
-                continue
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            kept[-1] = (key[:cut], own[:cut], fps[:cut])
-            yield from _out(_pairs(*(np.concatenate(x) for x in zip(*kept, strict=True)), radius))
-            kept = [(key[cut:], own[cut:], fps[cut:])]
-        if kept:
-            yield from _out(_pairs(*(np.concatenate(x) for x in zip(*kept, strict=True)), radius))
-
-    key = F.xxhash64("part", "value", "cell").alias("key")
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            key, own, node = columns[0], columns[1].astype(bool), columns[2]
+            fps = np.stack(columns[3:], axis=1).view(np.uint64)
+            cut = int(np.searchsorted(key, key[-1]))
+            kept.append((key[:cut], own[:cut], node[:cut], fps[:cut]))
+            if cut:
+                yield from _out(kept, radius)
+                kept = []
+            kept.append((key[cut:], own[cut:], node[cut:], fps[cut:]))
+        yield from _out(kept, radius)
+
     return (
-        rows.select(key, "owned", "fp")
+        rows.select(F.xxhash64("key", "cell").alias("key"), "owned", "node", *lanes)
         .repartition("key")
         .sortWithinPartitions("key", F.desc("owned"))
         .mapInArrow(run, "a long, b long")
     )
 
 
-def _out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if found:
-        pair = np.concatenate(found, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+def _out(kept: list[tuple[np.ndarray, ...]], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of whole keys."""
+    if kept:
+        key, own, node, fps = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if found := _pairs(key, own, fps, radius):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
 def _in_blocks(rows: DataFrame, hot: DataFrame, key_rows: int) -> DataFrame:
     """Rows of full keys copied into every pair of blocks they belong to; any two rows meet in one cell."""
-    counts = rows.join(hot, ["part", "value"]).groupBy("part", "value").count()
-    blocks = stored(
-        counts.select("part", "value", F.ceil(F.col("count") / key_rows).cast("int").alias("blocks")), "key-blocks"
-    )
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    counts = rows.join(hot, "key").groupBy("key").count()
+    blocks = stored(counts.select("key", F.ceil(F.col("count") / key_rows).cast("int").alias("blocks")), "key-blocks")
+    mine = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    dealt = rows.join(blocks, ["part", "value"], "left").select("*", F.coalesce(mine, F.lit(0)).alias("mine"), other.alias("other"))
+    dealt = rows.join(blocks, "key", "left").select("*", mine.alias("mine"), other.alias("other"))
     cell = F.least("mine", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("mine", "other")
-    return dealt.select("fp", "part", "value", "owned", cell.alias("cell"))
+    return dealt.select(*rows.columns, cell.alias("cell"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
+    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``; every pair within ``radius`` bits of 64 is linked.
 
     component_id is the smallest doc_id that links reach, the document itself included. Null, empty and blank texts have
-    fingerprint zero and are linked like any other. A null doc_id keeps its row; it never names a component unless no other
+    fingerprint zero and are linked like any other. A null doc_id keeps its row; it names a component only if no other
     id is in it. Other columns of ``docs`` are not read.
     """
     prints = stored(fingerprints(docs, words, seed), "simhash")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    distinct = stored(prints.groupBy("w0").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    plan = plan_segments(distinct.count(), radius)
+    found = links(distinct.select(F.col("w0").alias("node"), "w0"), radius, plan)
+    named = _named(distinct.withColumn("node", F.col("w0")), ["w0"], found)
+    return prints.join(named, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Segments of a wide fingerprint: any of these within one bit makes a pair that is looked at.
+WIDE_SEGMENT = 18
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
+    """``(doc_id, component_id)``, one row per row of ``docs``, linked where word shingles may be alike by ``similarity`` (Jaccard).
+
+    The likeness is read off ``lanes`` * 64 bits, one standard deviation in favour of a link. A pair is looked at if a segment of
+    18 bits differs in at most one: of pairs at 0.8 that misses about 3 in 100, at 0.9 about 1 in 2,000. Nulls, empty texts and repeated
+    rows are as in :func:`near_duplicates`.
+    """
+    names = [f"w{i}" for i in range(lanes)]
+    prints = stored(fingerprints(docs, words, lanes=lanes), "simhash")
+    distinct = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    nodes = distinct.withColumn("node", F.coalesce(F.col("first_id").cast("long"), F.xxhash64(*names)))
+    plan = [(low, WIDE_SEGMENT, 1) for low in range(0, 64 * lanes - WIDE_SEGMENT + 1, WIDE_SEGMENT)]
+    found = links(nodes.select("node", *names), estimated_radius(similarity, 64 * lanes), plan)
+    return prints.join(_named(nodes, names, found), names).select("doc_id", "component_id")
+
+
+def _named(nodes: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
+    """``names`` and the smallest document of the component; written, so that a join on a frequent fingerprint can be split."""
+    joined = nodes.join(components(found), "node", "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(joined.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return stored(joined.join(least, "root").select(*names, "component_id"), "simhash-components")
