@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, html, language, lines, order_minhash, packing, secrets, simhash
+from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in each document."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
