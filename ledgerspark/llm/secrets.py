@@ -103,9 +103,9 @@ def _bits(grams: list[str], wanted: frozenset[str] | str) -> list[int]:
 
 def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
     """Postings ``(trigram, doc_id, text_key)``; trigrams are looked for in lower-cased text."""
-    low = F.lower(text_of())
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    return docs.select(F.explode(held).alias("trigram"), "doc_id", text_hash().alias("text_key"))
+    low = docs.select("doc_id", text_hash().alias("text_key"), F.lower(text_of()).alias("low"))
+    held = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
+    return low.select(F.explode(held).alias("trigram"), "doc_id", "text_key")
 
 
 def intersect(postings: DataFrame, grams: list[str], queries: dict[str, list[frozenset[str]]]) -> DataFrame:
