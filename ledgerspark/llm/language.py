@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 #: n-gram hashes are taken to so many bits; two n-grams may share a number.
 HASH_BITS = 18
 _SIZE = 1 << HASH_BITS
+#: Parts of a language in which training documents are ranked first.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -62,9 +64,13 @@ def training_sample(docs: DataFrame, per_class: int, orders: int) -> list[tuple[
     2 ** HASH_BITS for a document.
     """
     usable = in_training(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text"))
-    best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = docs.where(usable).select("doc_id", "lang").withColumn("rank", F.row_number().over(best))
-    picked = ranked.where(F.col("rank") <= per_class).select("doc_id", F.col("lang").alias("picked_lang"))
+    lowest = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = docs.where(usable).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    # First within parts of a language, then among what those leave: a frequent language is not in one task.
+    for group in (["lang", "salt"], ["lang"]):
+        best = Window.partitionBy(*group).orderBy(*lowest)
+        ids = ids.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_class).drop("rank")
+    picked = ids.select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(_SIZE, bool)
