@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerspark.llm.common import stored
+
 #: n-gram hashes are taken to so many bits; two n-grams may share a number.
 HASH_BITS = 18
 _SIZE = 1 << HASH_BITS
@@ -70,7 +72,7 @@ def training_sample(docs: DataFrame, per_class: int, orders: int) -> list[tuple[
     for group in (["lang", "salt"], ["lang"]):
         best = Window.partitionBy(*group).orderBy(*lowest)
         ids = ids.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_class).drop("rank")
-    picked = ids.select("doc_id")
+    picked = stored(ids.select("doc_id").distinct(), "training-ids")  # its size is known then, so texts need no shuffle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(_SIZE, bool)
@@ -80,7 +82,7 @@ def training_sample(docs: DataFrame, per_class: int, orders: int) -> list[tuple[
                 [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], ["doc_id", "lang", "grams"]
             )
 
-    texts = docs.where(usable).select("doc_id", "lang", "text").join(picked.distinct(), "doc_id", "left_semi")
+    texts = docs.where(usable).select("doc_id", "lang", "text").join(picked, "doc_id", "left_semi")
     rows = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, grams array<int>").collect()
     return [(r["lang"], np.array(r["grams"], np.int64)) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"]))]
 
