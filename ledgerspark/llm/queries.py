@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash
+from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash, url_filters
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,15 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+@query("op4_url_filters", url_filters.SQL)
+def url_filter_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries in force when it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.dated_captures(pages), url_filters.dated_list(pages)).select(
+        "page_id", "url", "host", "fetched_on", "pattern", "action", "kept"
+    )
+
+
 @query("op5_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest linked doc_id of each document, by 4-word SimHash at 4 bits."""
