@@ -45,17 +45,23 @@ def first_occurrences(rows: DataFrame) -> DataFrame:
 
 
 def frequent_keys(rows: DataFrame, min_docs: int) -> DataFrame:
-    """Keys in at least ``min_docs`` documents, with the number; counted in each slice before it is shuffled."""
-    seen = first_occurrences(rows).groupBy("h1", "h2").agg(F.count_if("new_doc").alias("n_docs"))
+    """Keys in at least ``min_docs`` documents, with the number and the ``first`` line; gathered in each slice before it is shuffled."""
+    place = F.struct("doc_id", "text_key", "pos")
+    seen = first_occurrences(rows).groupBy("h1", "h2").agg(F.count_if("new_doc").alias("n_docs"), F.min(place).alias("first"))
     return seen.where(F.col("n_docs") >= min_docs)
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``(doc_id, text_key, dropped)`` of the documents that lose lines: sorted positions of all lines with frequent keys."""
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """``(doc_id, text_key, dropped)`` of the documents that lose lines: sorted positions of the lines with frequent keys.
+
+    With ``keep_first`` the first line of a key, by doc_id and position, is not among them.
+    """
     rows = stored(line_rows(docs, min_chars), "lines")
     # Written, so that both sides of the join are exchanged and a key with very many lines can be split.
-    keys = stored(frequent_keys(rows, min_docs).select("h1", "h2"), "line-keys")
-    hit = rows.join(keys, ["h1", "h2"], "left_semi")
+    keys = stored(frequent_keys(rows, min_docs).select("h1", "h2", "first"), "line-keys")
+    hit = rows.join(keys, ["h1", "h2"])
+    if keep_first:
+        hit = hit.where(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first")))
     return hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -67,16 +73,16 @@ def keep_runs(n_lines: Column, dropped: Column) -> Column:
     return F.filter(gaps, lambda g: g["length"] > 0)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped``, ``keep_runs`` and ``kept_text``; one row per row of ``docs``.
 
     A key is the line without blanks at both ends, A-Z lower-cased. Keys of ``min_chars`` or more code points in at least
-    ``min_docs`` documents lose all their lines; blank lines have no key and stay. Null and empty texts are one empty line. Rows
+    ``min_docs`` documents lose all their lines, or with ``keep_first`` all but the first; blank lines have no key and stay. Null and empty texts are one empty line. Rows
     with the same doc_id count as one document; rows repeated whole get the same result. Columns of ``docs`` with the
     names of the results are replaced.
     """
     made = {"n_lines", "n_dropped", "keep_runs", "kept_text"}
-    maps = keep_bitmaps(docs, min_docs, min_chars).select(
+    maps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(
         F.col("doc_id").alias("_map_id"), F.col("text_key").alias("_map_key"), F.col("dropped").alias("_map_dropped")
     )
     plain = docs.select(*[c for c in docs.columns if c not in made], text_hash().alias("_map_text"))

@@ -270,3 +270,9 @@ def test_secrets_are_replaced(docs):
     assert "hunter2" not in got[20] and got[20].startswith("é\U0001f600 [secret]")
     assert "abcdefgh" not in got[23]
     assert secrets.scan_secrets(docs()).collect() == []
+
+
+def test_the_first_line_of_a_key_can_stay(docs):
+    rows = [(i, f"shared\nown {i}\nshared") for i in range(20)] + [(None, "only here")]
+    got = {r.doc_id: r.kept_text for r in lines.line_dedup(docs(*rows), 10, keep_first=True).collect()}
+    assert got[0] == "shared\nown 0" and got[7] == "own 7" and got[None] == "only here"
