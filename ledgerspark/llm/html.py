@@ -41,7 +41,7 @@ _BLANK = re.compile(r"\s+")
 
 
 class _Blocks(HTMLParser):
-    """Blocks of text in page order: ``[text parts, tags seen, open elements]``; text of left-out elements is dropped."""
+    """Blocks of text in page order: ``(text parts, [tags], element)``; text and tags of left-out elements are dropped."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -52,7 +52,6 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[list[str], list[int], int]] = []
         self.text: list[str] = []
         self.tags = 0
-        self.lost_tags = 0
 
     def _end_block(self) -> None:
         if self.text:
@@ -67,10 +66,10 @@ class _Blocks(HTMLParser):
             self._end_block()
             if tag == "p" or tag == "li":
                 self._close_open(tag)
-        self.tags += 1
+        out = self.open[-1][2] or tag in NEVER or self._beside(tag, attrs)
+        self.tags += not out
         if tag in VOID:
             return
-        out = self.open[-1][2] or tag in NEVER or self._beside(tag, attrs)
         self.names.append(tag)
         self.parents.append(self.open[-1][1])
         self.open.append((tag, len(self.names) - 1, out))
@@ -78,7 +77,7 @@ class _Blocks(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._end_block()
-        self.tags += 1
+        self.tags += not self.open[-1][2]
 
     def _close_open(self, tag: str) -> None:
         """A new paragraph or item ends an open one of the same block: its end tag may be left out."""
@@ -109,7 +108,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._end_block()
-        self.tags += 1
+        self.tags += not self.open[-1][2]
         if tag in VOID:
             return
         for at in range(len(self.open) - 1, 0, -1):
