@@ -30,6 +30,9 @@ HEADLINE = [
     "correction_apply",
     "export_financial_summary",
     "words_to_lines",
+    "bank_detect",
+    "universal_parse",
+    "profile_parse",
 ]
 
 

@@ -79,36 +79,34 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     """Date from number texts; two-digit years up to 49 are 20xx; impossible dates are null."""
     century = F.when(F.length(year) == 4, "").when(year <= "49", "20").otherwise("19")
     text = F.concat_ws("-", F.concat(century, year), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(text >= "0001", text.try_cast("date"))
 
 
 def _month_number(name: Column, full: bool) -> Column:
+    """Number of a month name as text; 0 if it is none. With ``full`` the whole name counts too."""
     upper = F.upper(name)
-    out = F.lit(None).cast("string")
-    for i, month in reversed(list(enumerate(MONTHS, start=1))):
-        hit = (upper == month[:3]) | (upper == month) if full else upper == month[:3]
-        out = F.when(hit, f"{i:02d}").otherwise(out)
-    return out
+    out = F.find_in_set(upper, F.lit(",".join(m[:3] for m in MONTHS)))
+    if full:
+        out = F.greatest(out, F.find_in_set(upper, F.lit(",".join(MONTHS))))
+    return out.cast("string")
 
 
 def _match(c: Column, pattern: str, build) -> Column:
-    """``build(groups)`` when the pattern matches, else null."""
-    def group(i: int) -> Column:
-        return F.regexp_extract(c, pattern, i)
+    """``build(parts)`` when the pattern matches, else null; parts are cut at date separators, so they cost one pass."""
+    def part(i: int) -> Column:
+        return F.get(F.split(c, r"[-/. ]|(?<=\d)T"), F.lit(i))
 
-    return F.when(c.rlike(pattern), build(group))
+    return F.when(c.rlike(pattern), build(part))
 
 
 def parse_date_multi(c: Column) -> Column:
     """Day-first numeric dates with / - or . , month names, and year-first dates."""
     text = strip(c)
     return F.coalesce(
-        _match(text, r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$", lambda g: _iso(g(4), g(3), g(1))),
-        _match(
-            text, r"^(\d{1,2})([ /-])([A-Za-z]{3})\2(\d{4})$", lambda g: _iso(g(4), _month_number(g(3), False), g(1))
-        ),
-        _match(text, r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$", lambda g: _iso(g(3), _month_number(g(2), True), g(1))),
-        _match(text, r"^(\d{4})([/.-])(\d{2})\2(\d{2})$", lambda g: _iso(g(1), g(3), g(4))),
+        _match(text, r"^\d{1,2}([/.-])\d{1,2}\1(?:\d{4}|\d{2})$", lambda g: _iso(g(2), g(1), g(0))),
+        _match(text, r"^\d{1,2}([ /-])[A-Za-z]{3}\1\d{4}$", lambda g: _iso(g(2), _month_number(g(1), False), g(0))),
+        _match(text, r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", lambda g: _iso(g(2), _month_number(g(1), True), g(0))),
+        _match(text, r"^\d{4}([/.-])\d{2}\1\d{2}$", lambda g: _iso(g(0), g(1), g(2))),
     )
 
 
@@ -116,13 +114,11 @@ def parse_date_sheet(c: Column) -> Column:
     """Sheet dates; day before month, month before day only where the first reading is impossible."""
     text = strip(c)
     return F.coalesce(
-        _match(text, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", lambda g: _iso(g(4), g(3), g(1))),
-        _match(
-            text, r"^(\d{1,2})([ -])([A-Za-z]{3})\2(\d{4})$", lambda g: _iso(g(4), _month_number(g(3), False), g(1))
-        ),
-        _match(text, r"^(\d{4})([/-])(\d{2})\2(\d{2})$", lambda g: _iso(g(1), g(3), g(4))),
-        _match(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: \d{1,2}:\d{2}.*)?$", lambda g: _iso(g(3), g(1), g(2))),
-        _match(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ]\d{1,2}:\d{2}.*)?$", lambda g: _iso(g(1), g(2), g(3))),
+        _match(text, r"^\d{1,2}([/-])\d{1,2}\1\d{4}$", lambda g: _iso(g(2), g(1), g(0))),
+        _match(text, r"^\d{1,2}([ -])[A-Za-z]{3}\1\d{4}$", lambda g: _iso(g(2), _month_number(g(1), False), g(0))),
+        _match(text, r"^\d{4}([/-])\d{2}\1\d{2}$", lambda g: _iso(g(0), g(1), g(2))),
+        _match(text, r"^\d{1,2}/\d{1,2}/\d{4}(?: \d{1,2}:\d{2}.*)?$", lambda g: _iso(g(2), g(0), g(1))),
+        _match(text, r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}.*)?$", lambda g: _iso(g(0), g(1), g(2))),
     )
 
 

@@ -8,20 +8,40 @@ from pyspark.sql import SparkSession
 FUNCTIONS = [
     ("ledger_strip", "s STRING", "STRING", r"regexp_replace(s, '(?U)^\\s+|\\s+$', '')"),
     ("ledger_normalize_ws", "s STRING", "STRING", r"ledger_strip(regexp_replace(s, '(?U)\\s+', ' '))"),
+    ("ledger_signed", "s STRING", "STRING", r"regexp_replace(ledger_strip(s), '^(.*[^+-])\\s*([+-])$', '$2$1')"),
+    (
+        "ledger_number",
+        "s STRING",
+        "DECIMAL(18,2)",
+        r"CASE WHEN ledger_signed(s) RLIKE '^[+-]?\\s*(?:\\d+\\.?\\d*|\\.\\d+)$'"
+        r" THEN try_cast(regexp_replace(ledger_signed(s), '\\s', '') AS DECIMAL(18,2)) END",
+    ),
+    (
+        "ledger_unmarked",
+        "s STRING",
+        "STRING",
+        r"regexp_replace(ledger_strip(regexp_replace(s, '(?i)₹|INR|Rs\\.?|Cr\\.?|Dr\\.?|,', '')),"
+        r" '^\\(\\s*(.*?)\\s*\\)$', '-$1')",
+    ),
+    (
+        "ledger_amount_universal",
+        "s STRING",
+        "DECIMAL(18,2)",
+        r"CASE WHEN length(ledger_unmarked(s)) <= 10 OR contains(ledger_unmarked(s), '.') THEN ledger_number(ledger_unmarked(s)) END",
+    ),
     ("ledger_mask_digits", "s STRING", "STRING", r"regexp_replace(s, '\\b\\d+\\b', '#')"),
     (
         "ledger_amount_sheet",
         "s STRING",
         "DECIMAL(18,2)",
-        r"try_cast(ledger_strip(regexp_replace(regexp_replace(ledger_strip(s), '[,₹$]', ''), '(?i)[dc]r$', ''))"
-        r" AS DECIMAL(18,2))",
+        r"ledger_number(regexp_replace(ledger_strip(regexp_replace(ledger_strip(s), '[,₹$]', '')), '(?i)[dc]r$', ''))",
     ),
     (
         "ledger_balance_signed",
         "s STRING",
         "DECIMAL(18,2)",
-        r"CASE WHEN ledger_strip(s) RLIKE '(?i)dr$' THEN -1 ELSE 1 END *"
-        r" try_cast(ledger_strip(regexp_replace(s, '(?i)Dr|Cr|,', '')) AS DECIMAL(16,2))",
+        r"CASE WHEN ledger_strip(s) RLIKE '(?i)dr$' THEN CAST(-ledger_number(regexp_replace(ledger_strip(s), '(?i)Dr|Cr|,', ''))"
+        r" AS DECIMAL(18,2)) ELSE ledger_number(regexp_replace(ledger_strip(s), '(?i)Dr|Cr|,', '')) END",
     ),
     ("ledger_repair_decimal", "s STRING", "STRING", r"regexp_replace(s, ',(\\d{2})$', '.$1')"),
     ("ledger_default_type", "kind STRING, debit DECIMAL(18,2)", "STRING",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.parse import is_date_token, parse_amount_universal
+from ledgerspark.functions.parse import is_amount_token, is_date_token, parse_amount_universal
 from ledgerspark.functions.text import strip
 from ledgerspark.model import MONEY
 from ledgerspark.operators import continuity as C
@@ -149,6 +149,17 @@ def calibrate(headers: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def default_edges(profile: Column) -> Column:
+    """A profile's edges where no heading line was found at all; profiles without edges use the first with plain columns."""
+    out = None
+    for name in PROFILES:
+        columns = CALIBRATION.get(name, CALIBRATION["SBI-v1"])
+        items = [F.struct(F.lit(default).alias("left_x"), F.lit(column).alias("column_type")) for column, _, _, default in columns]
+        value = F.array_sort(F.array(*items))
+        out = F.when(profile == name, value) if out is None else out.when(profile == name, value)
+    return out
+
+
 def edges_of_layout(columns: Column) -> Column:
     """A detected layout as left edges: the first column opens 10 before its heading, later ones 5 before."""
     return F.transform(
@@ -215,6 +226,11 @@ def bands_by_midpoint(words: DataFrame, is_anchor: Column, hot: Hot | None = Non
     return words.drop("_a", "_cy", "_t", "_ac", "_ncy", "_npage", "_count", "_up", "_down")
 
 
+def shows_amount(min_x: float = 255.0) -> Column:
+    """A line with money in the amount columns: an amount token with decimals, right of the narration."""
+    return F.exists("fragments", lambda f: (f["x"] >= min_x) & is_amount_token(f["text"]) & strip(f["text"]).rlike(r"\.\d{1,2}"))
+
+
 def _fold_pages(lines: DataFrame, fields: list[str], zero: Column, step) -> DataFrame:
     """Fold the lines of each page in order. ``step(acc, line)`` returns the accumulator with one more mark.
 
@@ -368,7 +384,7 @@ def rows_by_boundary(lines: DataFrame, boundary: str, lead_pt: float = 0.0, hot:
     if boundary == "midpoint":
         return bands_by_midpoint(_words(lines), date_word(), hot)
     if boundary == "blocks":
-        marks = blocks(lines, F.lit(False))
+        marks = blocks(lines, shows_amount())
         marks = with_ordered(
             marks.withColumn("_s", F.lit(0)), ["file_id", "page", "block_no"], ["line_no"], {"_r": lag(F.lit(1))}, hot
         )
@@ -392,9 +408,14 @@ def parse_profiles(run: U.UniversalParse, routed: DataFrame) -> DataFrame:
     # The routing carries every detection pattern in its plan; the saved table is two short columns.
     known = checkpointed(routed.filter(F.col("profile") != "universal").select("file_id", "profile"))
     # Five boundary rules read these lines, so they are written once.
-    lines = checkpointed(U.table_lines(run.bounded).join(known, "file_id"))
-    edges = calibrate(run.headers, known).join(run.layouts.select("file_id", "columns"), "file_id", "left")
-    own, seen = F.col("edges"), edges_of_layout(F.col("columns"))
+    # A known bank does not need the general heading analysis: a file it fails on keeps default bounds and the profile's edges.
+    structure = run.structure.join(known, "file_id", "left_semi")
+    bounded = U.with_page_bounds(run.lines, structure, run.hot)
+    lines = checkpointed(U.table_lines(bounded).join(known, "file_id"))
+    edges = known.join(calibrate(run.headers, known).drop("profile"), "file_id", "left")
+    edges = edges.join(structure.select("file_id", "columns", "is_sufficient"), "file_id", "left")
+    seen = F.when(F.col("is_sufficient"), edges_of_layout(F.col("columns")))
+    own = F.coalesce("edges", default_edges(F.col("profile")))
     edges = edges.select("file_id", F.when(F.col("is_trusted"), own).otherwise(F.coalesce(seen, own)).alias("edges"))
     groups: dict[tuple, list[str]] = {}
     for name, p in PROFILES.items():

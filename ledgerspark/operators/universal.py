@@ -250,9 +250,14 @@ def segment_rows(
     return kept.filter("_broken = 0").drop("_d", "_dp", "_low", "_far", "_broken", "_pp")
 
 
+def _from_left(a: Column, b: Column) -> Column:
+    """Order of two columns by left edge, however close they are."""
+    return (a["left_x"] > b["left_x"]).cast("int") - (a["left_x"] < b["left_x"]).cast("int")
+
+
 def column_at(columns: Column, x: Column) -> Column:
     """Column whose interval holds ``x``: from 10 left of its edge to 5 before the next edge; the last is open."""
-    ordered = F.array_sort(columns, lambda a, b: (a["left_x"] - b["left_x"]).cast("int"))
+    ordered = F.array_sort(columns, _from_left)
 
     def inside(c: Column, i: Column) -> Column:
         nxt = F.coalesce(F.get(ordered, i + 1)["left_x"] - 5.0, F.lit(float("inf")))
@@ -452,7 +457,7 @@ def route(scored: DataFrame) -> DataFrame:
 def fingerprints(layouts: DataFrame) -> DataFrame:
     """Layout hash per file from column types, relative positions and headings, left to right."""
     width = F.when(F.col("page_width") > 0, F.col("page_width")).otherwise(595.0)
-    cols = F.array_sort("columns", lambda a, b: (a["left_x"] - b["left_x"]).cast("int"))
+    cols = F.array_sort("columns", _from_left)
     out = layouts.withColumns({"_c": cols, "_w": width})
     positions = F.transform("_c", lambda c: F.format_string("%.2f", F.bround(c["left_x"] / F.col("_w"), 2)))
     heads = F.filter(F.transform("_c", lambda c: F.lower(strip(c["header_text"]))), lambda h: h != "")

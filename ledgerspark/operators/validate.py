@@ -166,14 +166,17 @@ def with_audit(df: DataFrame, audit: DataFrame | None) -> DataFrame:
                 "is_corrected": F.lit(False),
             }
         )
+    # With the file in the key the join keeps the partitioning that the ordered work left.
+    keys = [KEY, "id"] if KEY in audit.columns else ["id"]
     picked = audit.select(
+        *keys[:-1],
         F.col("transaction_id").alias("id"),
         "value_date",
         "source_page_number",
         "source_line_index",
         "correction_count",
     )
-    return df.join(picked, "id", "left").withColumns(
+    return df.join(picked, keys, "left").withColumns(
         {
             "source_page_number": F.coalesce("source_page_number", F.lit(1)),
             "source_line_index": F.coalesce("source_line_index", F.lit(0)),
@@ -191,8 +194,8 @@ def validate(
 ) -> DataFrame:
     """Validate every statement at once.
 
-    The ordered work runs first on the file partitioning; the audit join follows, so the ledger is exchanged by
-    file once and by id once.
+    The ordered work runs first on the file partitioning, and an audit that names the file joins on it too, so the ledger
+    is exchanged by file once.
     """
     rows = continuity(transactions.drop("value_date"), "validate", hot=hot)
     rows = with_audit(flag_duplicates(rows, hot), audit)

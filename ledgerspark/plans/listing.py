@@ -206,7 +206,7 @@ def txn_page(led: Ledger) -> DataFrame:
  coalesce(a.source_page_number, 1) AS source_page_number FROM ledger l LEFT JOIN audit a ON a.transaction_id = l.id""",
 )
 def txn_with_audit(led: Ledger) -> DataFrame:
-    audit = led.audit.withColumnRenamed("transaction_id", "id").drop("value_date").withColumn("seen", F.lit(True))
+    audit = led.audit.withColumnRenamed("transaction_id", "id").drop("value_date", "source_file_id").withColumn("seen", F.lit(True))
     return led.ledger.select("id").join(audit, "id", "left").select(
         "id",
         F.coalesce("seen", F.lit(False)).alias("has_audit"),

@@ -32,7 +32,7 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not wanted:
         return sql
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in wanted)
+    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in wanted)
     body = sql.strip()
     return head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
 

@@ -261,6 +261,7 @@ class Ledger:
         values = F.col("original_values")
         return self.audit_records.select(
             "transaction_id",
+            "source_file_id",
             values["value_date"].alias("value_date"),
             values["source_page_number"].alias("source_page_number"),
             values["source_line_index"].alias("source_line_index"),
