@@ -101,27 +101,27 @@ def ledger_csv(validated: DataFrame, hot: Hot | None = None) -> DataFrame:
     return rows.select(KEY, *[v.alias(t) for v, t in zip(values, CSV_TITLES)])
 
 
-def write_ledger_csv(validated: DataFrame, path: str, hot: Hot | None = None) -> None:
-    """One folder per statement, rows in serial order inside each part file."""
-    out = ledger_csv(validated, hot).sortWithinPartitions(KEY, "Sr No")
-    out.write.mode("overwrite").partitionBy(KEY).csv(path, header=True, quote='"', escape='"', quoteAll=False)
+def write_ledger_csv(validated: DataFrame, path: str, hot: Hot | None = None, buckets: int = 64) -> None:
+    """``buckets`` folders of whole statements, rows in serial order inside each part file; the file number is a column."""
+    out = ledger_csv(validated, hot).withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
+    out.sortWithinPartitions("bucket", KEY, "Sr No").write.mode("overwrite").partitionBy("bucket").csv(path, header=True, quote='"', escape='"', quoteAll=False)
 
 
 def position() -> Column:
     return F.struct(*[F.col(c) for c in LEDGER_ORDER])
 
 
-def file_facts(validated: DataFrame) -> DataFrame:
-    """Bank, account, opening and closing balance per statement, all as map-side ``min_by``/``max_by``."""
+def fact_columns() -> list[Column]:
+    """Bank, account, opening and closing balance of a statement, all as map-side ``min_by``/``max_by``."""
     known = F.when(F.col("balance").isNotNull(), position())
     back = F.when(F.col("debit") > 0, F.col("debit")).when(F.col("credit") > 0, -F.col("credit")).otherwise(0)
     named = F.when(~is_blank(F.col("account")), position())
-    return validated.groupBy(KEY).agg(
+    return [
         F.min_by("bank_code", position()).alias("bank_code"),
         F.min_by("account", named).alias("account"),
         F.min_by((F.col("balance") + back).cast(MONEY), known).alias("opening_balance"),
         F.max_by("balance", known).alias("closing_balance"),
-    )
+    ]
 
 
 def _pairs(items: list[tuple], names: list[str]) -> Column:
@@ -137,8 +137,7 @@ def _pairs(items: list[tuple], names: list[str]) -> Column:
 
 def statement_info(validated: DataFrame, files: DataFrame, exported_at: dt.datetime) -> DataFrame:
     """Sixteen label and value lines per statement."""
-    facts = summarize(validated).join(file_facts(validated).select(KEY, "bank_code", "account"), KEY)
-    facts = facts.join(files.select(F.col("id").alias(KEY), "original_file_name", "uploaded_at"), KEY)
+    facts = summarize(validated, *fact_columns()).join(files.select(F.col("id").alias(KEY), "original_file_name", "uploaded_at"), KEY)
     stamp = "yyyy-MM-dd HH:mm:ss 'UTC'"
     items = [
         ("Bank Name", bank_name(F.col("bank_code"))),
@@ -163,7 +162,7 @@ def statement_info(validated: DataFrame, files: DataFrame, exported_at: dt.datet
 
 def financial_summary(validated: DataFrame) -> DataFrame:
     """Ten metric, value and note lines per statement."""
-    facts = summarize(validated).join(file_facts(validated).drop("bank_code", "account"), KEY)
+    facts = summarize(validated, *fact_columns())
     bad = F.col("mismatched_count")
 
     def counted(name: str, suffix: str) -> Column:

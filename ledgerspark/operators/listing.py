@@ -78,7 +78,10 @@ def with_position(
     if sort_by.lower() in ("amount", "balance"):
         out = df.withColumn("_v", -value)
         return with_ordered(out, [key], ["_v", *ties], {"position": rownum()}, hot).drop("_v")
-    # Text and dates have no negation: rank the values downwards, then number inside equal values.
+    if sort_by.lower() not in ("description", "status"):
+        out = df.withColumn("_v", F.coalesce(-F.unix_micros(value.cast("timestamp")), F.lit((1 << 63) - 1)))
+        return with_ordered(out, [key], ["_v", *ties], {"position": rownum()}, hot).drop("_v")
+    # Text have no negation: rank the values downwards, then number inside equal values.
     ranks = df.groupBy(key, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(key).orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = ranks.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -369,20 +366,27 @@ ENVELOPE_HEAD = (
 ENVELOPE_TAIL = "</REQUESTDATA></IMPORTDATA></BODY></ENVELOPE>"
 
 
-def write_voucher_files(headers: DataFrame, path: str, company: str = "Company", key: str = "batch_id") -> None:
-    """Write vouchers as complete import documents, one per partition, streaming through each task."""
-    from xml.sax.saxutils import escape
-
-    head = '<?xml version="1.0" encoding="utf-8"?>' + ENVELOPE_HEAD.format(company=escape(company))
+def voucher_documents(headers: DataFrame, company: str | Column = "Company", key: str = "batch_id") -> DataFrame:
+    """``(key, part, row_number, value)``: the lines of each batch's own import document; ``company`` may differ by batch."""
+    name = F.coalesce(company if isinstance(company, Column) else F.lit(company), F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        name = F.replace(name, F.lit(mark), F.lit(entity))
+    before, after = ENVELOPE_HEAD.split("{company}")
+    head = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>' + before), F.min(name), F.lit(after))
+    edges = headers.groupBy(key).agg(head.alias("head")).select(
+        key,
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("part"), F.col("head").alias("value")),
+                F.struct(F.lit(2).alias("part"), F.lit(ENVELOPE_TAIL).alias("value")),
+            )
+        ),
+    )
+    body = voucher_xml(headers, key).select(key, F.lit(1).alias("part"), "row_number", F.col("xml").alias("value"))
+    return body.unionByName(edges.withColumn("row_number", F.lit(0))).select(key, "part", "row_number", "value")
 
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened = False
-        for batch in batches:
-            if not opened and len(batch):
-                opened = True
-                yield pd.DataFrame({"value": [head]})
-            yield pd.DataFrame({"value": batch["xml"]})
-        if opened:
-            yield pd.DataFrame({"value": [ENVELOPE_TAIL]})
 
-    voucher_xml(headers, key).select("xml").mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+def write_voucher_files(headers: DataFrame, path: str, company: str | Column = "Company", key: str = "batch_id") -> None:
+    """One folder with one complete import document per batch; a batch is one document, so one task writes it."""
+    lines = voucher_documents(headers, company, key).repartition(key).sortWithinPartitions(key, "part", "row_number")
+    lines.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)

@@ -213,8 +213,8 @@ def enrich(df: DataFrame) -> DataFrame:
     )
 
 
-def summarize(validated: DataFrame) -> DataFrame:
-    """One row per statement. A row with a positive debit never counts as a credit."""
+def summarize(validated: DataFrame, *more: Column) -> DataFrame:
+    """One row per statement, with ``more`` aggregates beside. A row with a positive debit never counts as a credit."""
     status, bal = F.col("status"), F.col("balance_status")
     is_d = F.coalesce(F.col("debit") > 0, F.lit(False))
     is_c = ~is_d & F.coalesce(F.col("credit") > 0, F.lit(False))
@@ -239,6 +239,7 @@ def summarize(validated: DataFrame) -> DataFrame:
         n(bal == BALANCED).alias("matched_count"),
         n(bal == MISMATCH).alias("mismatched_count"),
         n(F.col("is_duplicate")).alias("duplicate_count"),
+        *more,
     )
     return out.withColumns(
         {

@@ -11,6 +11,7 @@ from ledgerspark.model import bank_name, parser_version, status_name
 from ledgerspark.operators import listing as L
 from ledgerspark.operators import validate as V
 from ledgerspark.operators.continuity import BALANCED, MISMATCH, NOT_CHECKABLE
+from ledgerspark.operators.ordered import with_group
 from ledgerspark.plans.ledger import validated
 from ledgerspark.plans.registry import cte, query
 from ledgerspark.sources.bridge import Ledger
@@ -134,6 +135,35 @@ def authorized_clients(led: Ledger) -> DataFrame:
     return L.authorized_clients(led.clients)
 
 
+@query(
+    "tenant_rows",
+    """SELECT id, client_id FROM ledger WHERE client_id IN (SELECT id FROM clients WHERE user_id = 3)""",
+)
+def tenant_rows(led: Ledger) -> DataFrame:
+    """Ledger rows that one user may see."""
+    return L.tenant_scope(led.ledger, led.clients, 3).select("id", "client_id")
+
+
+@query(
+    "tenant_rows_unscoped",
+    "SELECT client_id, count(*) AS row_count FROM ledger GROUP BY client_id",
+)
+def tenant_rows_unscoped(led: Ledger) -> DataFrame:
+    """Without a user nothing is filtered."""
+    return L.tenant_scope(led.ledger, led.clients, None).groupBy("client_id").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query(
+    "access_answers",
+    """SELECT f.id AS file_id, f.id % 25 AS user_id, f.client_id, c.id IS NOT NULL AS allowed FROM file_records f
+ LEFT JOIN clients c ON c.id = f.client_id AND c.user_id = f.id % 25""",
+)
+def access_answers(led: Ledger) -> DataFrame:
+    """Whether a user, here the file number modulo 25, may open each file."""
+    asked = led.file_records.select(F.col("id").alias("file_id"), (F.col("id") % 25).alias("user_id"), "client_id")
+    return L.has_access(led.clients, asked).select("file_id", "user_id", "client_id", "allowed")
+
+
 @query(
     "tenant_semi",
     "SELECT id, source_file_id FROM ledger WHERE source_file_id IN (SELECT id FROM file_records WHERE processing_status = 2)",
@@ -195,9 +225,9 @@ def ledger_sorted(led: Ledger) -> DataFrame:
 def txn_page(led: Ledger) -> DataFrame:
     """Second page of three rows in every file, with the filtered total."""
     rows = L.filter_status(validated(led), "VALID")
-    totals = rows.groupBy("source_file_id").agg(F.count(F.lit(1)).alias("total_count"))
-    page = L.page_of(L.with_position(rows, "source_file_id", "date", hot=led.hot), 2, 3)
-    return page.join(totals, "source_file_id").select("id", "source_file_id", "position", "total_count")
+    rows = L.with_position(rows, "source_file_id", "date", hot=led.hot)
+    rows = with_group(rows, ["source_file_id"], {"total_count": F.count(F.lit(1))}, led.hot)
+    return L.page_of(rows, 2, 3).select("id", "source_file_id", "position", "total_count")
 
 
 @query(

@@ -85,9 +85,13 @@ def test_vouchers_balance_and_escape(spark, tmp_path):
     xml = [r.xml for r in S.voucher_xml(heads).orderBy("row_number").collect()]
     assert "<NARRATION>A &amp; B &lt;x></NARRATION>" in xml[0] or "A &amp; B &lt;x&gt;" in xml[0]
     assert "REFERENCE" not in xml[1] and 'VCHTYPE="Receipt"' in xml[1]
-    S.write_voucher_files(heads.coalesce(1), str(tmp_path / "xml"), "Shop & Co")
-    text = "".join(p.read_text() for p in (tmp_path / "xml").glob("part-*"))
-    assert text.count("<TALLYMESSAGE") == 2 and text.strip().endswith("</ENVELOPE>") and "Shop &amp; Co" in text
+    two = heads.unionByName(heads.withColumn("batch_id", F.lit(77).cast(heads.schema["batch_id"].dataType)))
+    S.write_voucher_files(two, str(tmp_path / "xml"), "Shop & Co")
+    files = list((tmp_path / "xml").rglob("part-*"))
+    assert len(files) == 2  # a batch is one whole document
+    for text in (p.read_text() for p in files):
+        assert text.startswith("<?xml") and text.count("<TALLYMESSAGE") == 2 and "Shop &amp; Co" in text
+        assert text.count("<ENVELOPE>") == 1 and text.strip().endswith("</ENVELOPE>")
 
 
 def test_read_sheet_needs_all_headers(spark, tmp_path):
