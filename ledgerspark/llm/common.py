@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(made)] = (weakref.ref(made), path)
+    return made
+
+
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once nothing lazy reads them any more."""
+    for frame in frames:
+        of, path = _PATHS.pop(id(frame), (None, None))
+        if of is not None and of() is frame:
+            spark = frame.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored
+from ledgerspark.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,6 @@ def components(edges: DataFrame) -> DataFrame:
     links = stored(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
     )
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = None
     turn = 0
     while not links.isEmpty():
@@ -33,17 +32,21 @@ def components(edges: DataFrame) -> DataFrame:
             "moves",
         )
         if roots is None:
-            roots = moves.withColumnRenamed("to", "root")
+            roots = stored(moves.withColumnRenamed("to", "root"), "roots")
         else:
             step = moves.select(F.col("node").alias("root"), "to")
+            last = roots
             roots = stored(
-                roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"
+                last.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"
             )
+            discard(last)
         from_a = moves.select(F.col("node").alias("a"), F.col("to").alias("x"))
         from_b = moves.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = links.join(from_a, "a").join(from_b, "b").where("x <> y")
+        last = links
         links = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(last, moves)
         turn += 1
     if roots is None:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

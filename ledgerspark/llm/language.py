@@ -59,13 +59,17 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_class: int, orders: int) -> list[tuple[str, np.ndarray]]:
+def training_sample(docs: DataFrame, per_class: int, max_classes: int, orders: int) -> list[tuple[str, np.ndarray]]:
     """``(lang, n-gram numbers)`` of at most ``per_class`` labelled documents of each language, by the lowest id hash.
 
+    Languages are the ``max_classes`` with most documents, so that the sample is bounded whatever the labels are.
+
     Only ids are ranked; the texts of the sample are read whole on executors, and n-gram numbers come to the driver: at most
     2 ** HASH_BITS for a document.
     """
-    usable = in_training(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text"))
+    learned = in_training(F.col("doc_id")) & F.col("lang").isNotNull()
+    counts = docs.where(learned).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes)
+    usable = learned & F.col("lang").isin([r["lang"] for r in counts.collect()]) & has_letter(F.col("text"))
     lowest = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = docs.where(usable).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     # First within parts of a language, then among what those leave: a frequent language is not in one task.
@@ -165,9 +169,11 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataF
     return kept.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, per_class: int = 300, landmarks: int = 40, orders: int = 4, ridge: float = 0.1) -> Model | None:
-    """Model of the languages in ``lang``; None if there is no labelled text. ``per_class`` bounds what is learned from."""
-    sample = training_sample(docs, per_class, orders)
+def train(
+    docs: DataFrame, per_class: int = 300, landmarks: int = 40, orders: int = 4, ridge: float = 0.1, max_classes: int = 200
+) -> Model | None:
+    """Model of the languages in ``lang``; None if there is no labelled text. ``per_class`` and ``max_classes`` bound the sample."""
+    sample = training_sample(docs, per_class, max_classes, orders)
     return fit(sample, landmarks, ridge, orders) if sample else None
 
 

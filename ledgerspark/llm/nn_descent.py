@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored
+from ledgerspark.llm.common import discard, stored
 from ledgerspark.llm.graph import components
 
 #: Neighbours in a list, and in one that links have filled.
@@ -102,7 +102,7 @@ def _first_graph(nodes: DataFrame, orders: int, ahead: int) -> DataFrame:
             rows = tail + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             u, v, sim = [], [], []
             units = [np.frombuffer(r[4], np.float32) for r in rows]
-            for i in range(max(0, len(tail) - 0), len(rows)):
+            for i in range(len(tail), len(rows)):
                 for j in range(max(0, i - ahead), i):
                     if rows[i][:2] == rows[j][:2]:
                         u.append(rows[j][3])
@@ -304,7 +304,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
             old = lists.withColumn("fresh", F.lit(False))
             both = old.unionByName(found.withColumn("fresh", F.lit(True)))
             merged = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-            lists = stored(_nearest(merged, threshold, near, grown), "lists")
+            last, lists = lists, stored(_nearest(merged, threshold, near, grown), "lists")
+            discard(last)
             if lists.where("fresh").count() <= total * near // 500:
                 break
         close = lists.where(F.col("sim") >= threshold - 1e-4).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import UPPER, stored
+from ledgerspark.llm.common import UPPER, discard, stored
 from ledgerspark.llm.graph import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     plan = plan_segments(distinct.count(), radius)
     found = links(distinct.select(F.col("w0").alias("node"), "w0"), radius, plan)
     named = _named(distinct.withColumn("node", F.col("w0")), ["w0"], found)
+    discard(distinct)
     return prints.join(named, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -280,11 +281,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     nodes = distinct.withColumn("node", F.coalesce(F.col("first_id").cast("long"), F.xxhash64(*names)))
     plan = [(low, WIDE_SEGMENT, 1) for low in range(0, 64 * lanes - WIDE_SEGMENT + 1, WIDE_SEGMENT)]
     found = links(nodes.select("node", *names), estimated_radius(similarity, 64 * lanes), plan)
-    return prints.join(_named(nodes, names, found), names).select("doc_id", "component_id")
+    named = _named(nodes, names, found)
+    discard(distinct)
+    return prints.join(named, names).select("doc_id", "component_id")
 
 
 def _named(nodes: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
     """``names`` and the smallest document of the component; written, so that a join on a frequent fingerprint can be split."""
-    joined = nodes.join(components(found), "node", "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
+    roots = components(found)
+    joined = nodes.join(roots, "node", "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return stored(joined.join(least, "root").select(*names, "component_id"), "simhash-components")
+    named = stored(joined.join(least, "root").select(*names, "component_id"), "simhash-components")
+    discard(roots)
+    return named
