@@ -7,7 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.parse import is_amount_token, is_date_token, parse_amount_universal
+from ledgerspark.functions.parse import (
+    extract_identifiers,
+    extract_utr_prefixed,
+    is_amount_token,
+    is_date_token,
+    parse_amount_universal,
+    repair_decimal_separator,
+    reversal_sides,
+)
 from ledgerspark.functions.text import strip
 from ledgerspark.model import MONEY
 from ledgerspark.operators import continuity as C
@@ -105,7 +113,33 @@ CALIBRATION = {
         ("Credit", None, 0.0, 430.0),
         ("Balance", None, 0.0, 490.0),
     ],
+    "BOI-v1": [
+        ("SerialNumber", None, 0.0, 0.0),
+        ("Date", None, 0.0, 65.0),
+        ("Reference", None, 0.0, 140.0),
+        ("Description", None, 0.0, 210.0),
+        ("Debit", None, 0.0, 470.0),
+        ("Credit", None, 0.0, 550.0),
+        ("Balance", None, 0.0, 635.0),
+        ("Indicator", None, 0.0, 740.0),
+    ],
+}
+# Profiles with fixed bands; their edges are trusted where these headings start inside their own band.
+BANDED = {
+    "SBI-v1": [(r"(?i)^(?:Debit|Withdrawal)", 360.0, 430.0), (r"(?i)^(?:Credit|Deposit)", 430.0, 490.0), (r"(?i)^Balance", 490.0, 1e9)],
+    "BOI-v1": [(r"(?i)^(?:Debit|Withdrawal)", 470.0, 550.0), (r"(?i)^(?:Credit|Deposit)", 550.0, 635.0), (r"(?i)^Balance", 635.0, 740.0)],
 }
+# Profiles whose balance carries a Dr mark when it is overdrawn, whose last comma may be the decimal point, whose
+# negative amounts are reversals, whose rows need an amount on one side, or any amount at all.
+SIGNED_BALANCE = ["BOI-v1", "CENTRAL-v1"]
+COMMA_DECIMALS = ["SBI-v1"]
+REVERSALS = ["HDFC-v1"]
+NEEDS_SIDE = ["BOB-v1"]
+NEEDS_AMOUNT = ["CENTRAL-v1"]
+# Rows that only tell of a changed rate, per profile.
+NOTES = {"CENTRAL-v1": r"(?i)BS RT CHG|CA RT CHG"}
+# Bank codes of the profiles whose narrations hold a UTR of the bank's own shape.
+UTR_BANKS = {"BOB-v1": 10, "PNB-v1": 9, "KOTAK-v1": 8}
 # Columns whose heading words must all be present before a profile's own edges are trusted.
 ESSENTIAL = {
     "HDFC-v1": ["Debit", "Credit", "Balance"],
@@ -136,7 +170,10 @@ def calibrate(headers: DataFrame, profiles: DataFrame) -> DataFrame:
             )
             for column, p, off, default in columns
         ]
-        found = F.lit(name in ESSENTIAL)
+        found = F.lit(name in ESSENTIAL or name in BANDED)
+        for pattern, low, high in BANDED.get(name, []):
+            x = _heading(pattern)
+            found = found & x.isNotNull() & (x >= low) & (x < high)
         for column, p, _, _ in columns:
             if column in ESSENTIAL.get(name, []):
                 found = found & _heading(p).isNotNull()
@@ -426,9 +463,60 @@ def parse_profiles(run: U.UniversalParse, routed: DataFrame) -> DataFrame:
         parts.append(part.select("file_id", "row_index", "row_page", "line_date", "x", "y", "text"))
     words = checkpointed(reduce(DataFrame.unionByName, parts)).join(checkpointed(edges), "file_id")
     words = words.withColumn("column_type", column_from(F.col("edges"), F.col("x"))).drop("edges")
-    rows = U.build_transactions(U.extract_cells(words), run.balances, run.hot)
+    cells = with_cell_rules(U.extract_cells(words).join(known, "file_id"))
+    rows = U.build_transactions(cells.drop("profile"), run.balances, run.hot)
     rows = rows.drop("parser_version").join(known.withColumnRenamed("profile", "parser_version"), "file_id")
-    return rows
+    return with_row_rules(rows)
+
+
+def with_cell_rules(cells: DataFrame) -> DataFrame:
+    """Cell texts read the way each profile prints them, and without rows that are no transactions there."""
+    profile = F.col("profile")
+    texts = ["debit_text", "credit_text", "balance_text"]
+    is_note = F.lit(False)
+    for name, pattern in NOTES.items():
+        is_note = is_note | ((profile == name) & F.coalesce(F.col("description").rlike(pattern), F.lit(False)))
+    no_amount = F.coalesce(*texts, "amount_text").isNull()
+    out = cells.filter(~is_note & ~(profile.isin(*NEEDS_AMOUNT) & no_amount))
+    comma = profile.isin(*COMMA_DECIMALS)
+    out = out.withColumns({c: F.when(comma, repair_decimal_separator(strip(c))).otherwise(F.col(c)) for c in texts})
+    balance = F.col("balance_text")
+    marked = F.coalesce(strip(balance).rlike(r"(?i)dr\.?$"), F.lit(False)) | F.coalesce(F.col("indicator").rlike("(?i)dr"), F.lit(False))
+    size = F.abs(parse_amount_universal(balance))
+    signed = F.when(profile.isin(*SIGNED_BALANCE) & marked, (-size).cast("string")).otherwise(balance)
+    sides = reversal_sides(parse_amount_universal(F.col("debit_text")), parse_amount_universal(F.col("credit_text")))
+    reverses = profile.isin(*REVERSALS)
+    out = out.withColumns({"balance_text": signed, "_sides": sides})
+    return out.withColumns(
+        {
+            "debit_text": F.when(reverses, F.col("_sides.debit").cast("string")).otherwise(F.col("debit_text")),
+            "credit_text": F.when(reverses, F.col("_sides.credit").cast("string")).otherwise(F.col("credit_text")),
+        }
+    ).drop("_sides")
+
+
+def with_row_rules(rows: DataFrame) -> DataFrame:
+    """References and UTRs from the narration, where the profile has them there; rows without a side drop out of profiles that need one."""
+    profile = F.col("parser_version")
+    no_side = F.coalesce("debit", "credit").isNull()
+    out = rows.filter(~(profile.isin(*NEEDS_SIDE) & no_side))
+    ids = extract_identifiers(F.col("description"))
+    found = F.struct(F.coalesce("reference", ids["reference"]).alias("reference"), ids["utr"].alias("utr"))
+    for name, bank in UTR_BANKS.items():
+        found = F.when(profile == name, extract_utr_prefixed(F.col("description"), F.col("reference"), bank)).otherwise(found)
+    return out.withColumn("_ids", found).withColumns({"reference": F.col("_ids.reference"), "utr": F.col("_ids.utr")}).drop("_ids")
+
+
+def closing_differences(rows: DataFrame, balances: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """Files whose opening balance and movements do not lead to the closing balance that the statement gives."""
+    moved = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
+    ends = rows.groupBy("file_id").agg(F.sum(moved).alias("moved"))
+    out = ends.join(balances.select("file_id", "opening_balance", "closing_balance"), "file_id")
+    reached = F.coalesce("opening_balance", F.lit(0)) + F.col("moved")
+    out = out.withColumn("reached", reached.cast(MONEY)).filter("closing_balance is not null")
+    return out.filter(F.abs(F.col("reached") - F.col("closing_balance")) > F.lit(tolerance).cast(MONEY)).select(
+        "file_id", "reached", "closing_balance"
+    )
 
 
 def judge_profiles(rows: DataFrame, hot: Hot | None = None) -> DataFrame:
