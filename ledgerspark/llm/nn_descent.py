@@ -2,8 +2,9 @@
 
 A graph of near neighbours starts from vectors that sort next to each other by random hyperplane signs. Each round every vector's
 neighbours, both ways, are compared with one another, and lists keep the nearest; lists that are full of links grow. When lists
-settle, recall is audited against brute force on a bounded sample, with more rounds if it falls short. Edges over the threshold
-are checked in double precision, and every linked group is then counted out in blocks, so links missing in lists still count.
+settle, recall is audited
+against brute force on a bounded sample, with more rounds if it falls short and an exact comparison at last. Edges over the threshold are
+checked in double precision, and every linked group is then counted out in blocks, so links missing in lists still count.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ROUNDS = 8
 AUDIT = 400
 #: Rows of a group that are compared at once.
 BLOCK = 2048
+#: Bytes of vectors that go to every task at a time when groups are compared with one another.
+PART_BYTES = 16 << 20
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -248,9 +251,91 @@ def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("others").alias("others"))
 
 
-def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> tuple[float, DataFrame]:
-    """Share of the links of ``sample`` vectors, found by brute force, whose ends lie in one group; and those links."""
-    picked = nodes.select("id", "raw").orderBy(F.xxhash64("id")).limit(sample).collect()
+def _blocks_of(root: np.ndarray) -> list[int]:
+    """Edges of blocks of at most ``BLOCK`` rows of one root; rows are sorted by root."""
+    starts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
+    return [at for a, b in zip(starts[:-1], starts[1:], strict=True) for at in range(a, b, BLOCK)] + [len(root)]
+
+
+def _bounds(x: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A direction for each block of unit rows, and the largest angle of its rows to that."""
+    centre = x[edges[:-1]]
+    sizes = np.diff(edges)
+    cosine = np.einsum("ij,ij->i", x, np.repeat(centre, sizes, axis=0))
+    angle = np.where(np.repeat(sizes, sizes) == 1, 0.0, np.arccos(np.clip(cosine, -1, 1)))
+    return centre, np.maximum.reduceat(angle, edges[:-1])
+
+
+def _across(members: DataFrame, threshold: float, total: int) -> DataFrame:
+    """``(u, v)``: roots of all different groups of ``members`` (``root, id, raw``) that a link joins, by exact comparison.
+
+    Parts of ``members`` go to every task in turn, so no row is copied by a shuffle. Blocks of a group are compared if their
+    directions and angles leave room for a link.
+    """
+    if not total:
+        return members.select(F.col("root").alias("u"), F.col("root").alias("v")).where("false")
+    size = members.agg(F.sum(F.length("raw"))).first()[0]
+    parts = -(-size // PART_BYTES)
+    dealt = stored(
+        members.select("root", "id", "raw", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+        .repartitionByRange("root", "id")
+        .sortWithinPartitions("root", "id"),
+        "across",
+    )
+    reach = float(np.arccos(threshold)) + 1e-6
+    found = None
+    for part in range(parts):
+        by_dims: dict[int, tuple] = {}
+        picked = sorted(((r["root"], bytes(r["raw"])) for r in dealt.where(F.col("part") == part).select("root", "raw").collect()), key=lambda r: r[0])
+        for dims in {len(r[1]) for r in picked}:
+            own = [r for r in picked if len(r[1]) == dims]
+            root = np.array([r[0] for r in own], np.int64)
+            x = _cosine(np.frombuffer(b"".join(r[1] for r in own), np.float64).reshape(len(own), -1))
+            edges = _blocks_of(root)
+            by_dims[dims] = root, x, edges, *_bounds(x, edges)
+
+        def run(batches: Iterator[pa.RecordBatch], by_dims: dict = by_dims) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                roots, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                sizes = np.array([len(r) for r in raw])
+                for dims in set(sizes.tolist()) & set(by_dims):
+                    at = np.flatnonzero(sizes == dims)
+                    at = at[np.argsort(roots[at], kind="stable")]
+                    own = roots[at]
+                    x = _cosine(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1))
+                    yield from compare((own, x, edges := _blocks_of(own), *_bounds(x, edges)), by_dims[dims])
+
+        def compare(one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
+            root_a, x, edges_a, centre_a, angle_a = one
+            root_b, y, edges_b, centre_b, angle_b = two
+            joined = set()
+            for a in range(0, len(angle_a), BLOCK):
+                for b in range(0, len(angle_b), BLOCK):
+                    apart = np.arccos(np.clip(centre_a[a : a + BLOCK] @ centre_b[b : b + BLOCK].T, -1, 1))
+                    room = apart <= angle_a[a : a + BLOCK, None] + angle_b[None, b : b + BLOCK] + reach
+                    for i, j in zip(*(k.tolist() for k in np.nonzero(room)), strict=True):
+                        (i0, i1), (j0, j1) = edges_a[a + i : a + i + 2], edges_b[b + j : b + j + 2]
+                        pair = int(root_a[i0]), int(root_b[j0])
+                        if pair[0] != pair[1] and pair not in joined and (x[i0:i1] @ y[j0:j1].T >= threshold).any():
+                            joined.add(pair)
+            u, v = zip(*joined, strict=True) if joined else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        rest = dealt.where(F.col("part") >= part).select("root", "raw")
+        got = stored(rest.mapInArrow(run, "u long, v long").distinct(), "across-links")
+        found = got if found is None else found.unionByName(got)
+    discard(dealt)
+    return found
+
+
+def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, turn: int, many: int) -> tuple[float, int, DataFrame]:
+    """Recall of the links of ``sample`` vectors, found by brute force: met if both ends lie in one group. With links missed; and all links.
+
+    Each turn takes other vectors, so none that an earlier turn repaired. The share of links met is averaged over vectors, apart for those
+    with at most ``many`` links and those with more; the lower average counts, so that a large group does not hide small ones.
+    """
+    order = nodes.select("id", "raw").orderBy(F.xxhash64("id"), "id")
+    picked = order.offset(turn * sample).limit(sample).collect()
     by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dims in {len(r["raw"]) for r in picked}:
         own = [r for r in picked if len(r["raw"]) == dims]
@@ -275,8 +360,22 @@ def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int) ->
     true = stored(nodes.select("id", "raw").mapInArrow(run, "u long, v long"), "audit")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     joined = true.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    row = joined.agg(F.count("*").alias("all"), F.count_if(F.col("root_u") == F.col("root_v")).alias("met")).first()
-    return (row["met"] / row["all"] if row["all"] else 1.0), true
+    met = F.coalesce(F.col("root_u") == F.col("root_v"), F.lit(False))
+    of_each = joined.groupBy("u").agg(F.count("*").alias("all"), F.count_if(met).alias("met"))
+    rows = of_each.groupBy(F.col("all") > many).agg(F.avg(F.col("met") / F.col("all")).alias("share"), F.sum(F.col("all") - F.col("met")).alias("missed")).collect()
+    return min((r["share"] for r in rows), default=1.0), sum(r["missed"] for r in rows), true
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return stored(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vector-roots")
+
+
+def _joined(links: DataFrame, roots: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with what else was found, and the roots of both; ``roots`` as it is if nothing was."""
+    if found.isEmpty():
+        return links, roots
+    links = links.unionByName(found)
+    return links, _roots(links)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, rounds: int = ROUNDS) -> DataFrame:
@@ -284,8 +383,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
 
     Equal vectors are one node with its number of copies. Null and zero vectors, vectors with null or non-finite numbers and rows without
     vec_id link with nothing; vectors of different lengths never link. component_id is the smallest vec_id that links reach, itself
-    included; kept: whether that is the row's own. Other columns are not read. If the audit finds a recall below ``recall``, lists
-    start wider and the search is done again with what it found, twice at most.
+    included; kept: whether that is the row's own. Other columns are not read. If the audit finds a recall below ``recall``, lists start wider and the search is done again with what it found, twice at
+    most; each try is audited on other vectors. If the last one falls short too, all groups are compared exactly.
     """
     kind = dict(vectors.dtypes)["vec_id"]
     hashes = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("vec"), "embedding").alias("h2")]
@@ -296,7 +395,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     units = stored(_signs(nodes, 1).select("id", "unit"), "units")
     total = nodes.count()
     more = None
-    for _ in range(3):
+    for turn in range(3):
         pairs = _both_ways(edges.where("u <> v")).groupBy("u", "v").agg(F.max("sim").alias("sim"))
         lists = stored(_nearest(pairs, threshold, near, grown).withColumn("fresh", F.lit(True)), "lists")
         for _ in range(rounds):
@@ -311,13 +410,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         close = lists.where(F.col("sim") >= threshold - 1e-4).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = _exact(close, nodes, threshold)
         links = stored(links if more is None else links.unionByName(more), "vector-links")
-        roots = stored(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vector-roots")
-        share, true = _audit(nodes, roots, threshold, AUDIT)
+        roots = _roots(links)
+        share, missed, true = _audit(nodes, roots, threshold, AUDIT, turn, grown)
+        if missed:
+            links, roots = _joined(links, roots, true)
         if share >= recall:
             break
         near, grown = 2 * near, 2 * grown
         more = true if more is None else more.unionByName(true)
         edges = lists.select("u", "v", "sim").unionByName(true.withColumn("sim", F.lit(1.0))).unionByName(_first_graph(nodes, 2 * ORDERS, AHEAD))
+    else:
+        named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "id", "raw")
+        links, roots = _joined(links, roots, _across(named, threshold, total))
     members = stored(roots.withColumnRenamed("node", "id").join(nodes, "id").select("root", "id", "copies", "raw"), "members")
     counts = _link_counts(members, threshold)
     least = members.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -166,6 +166,29 @@ def test_large_groups_are_counted_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(frame).collect()} == {(119, 0)}
 
 
+def test_a_search_that_finds_nothing_ends_in_an_exact_one(spark, monkeypatch):
+    none = lambda nodes, *_: nodes.selectExpr("id AS u", "id AS v", "0d AS sim").where("false")
+    monkeypatch.setattr(nn_descent, "_first_graph", none)
+    monkeypatch.setattr(nn_descent, "AUDIT", 4)
+    monkeypatch.setattr(nn_descent, "PART_BYTES", 8000)
+    own = np.random.default_rng(3)
+    rows = [c + 0.01 * own.standard_normal(16) for c in own.standard_normal((40, 16)) for _ in range(2)] + [[1.0, 2.0], [1.0, 2.1]]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(frame).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(82)}
+
+
+def test_audit_takes_new_vectors_and_counts_by_vector(spark):
+    own = np.random.default_rng(4)
+    rows = [np.eye(8)[0] + 0.01 * own.standard_normal(8) for _ in range(60)] + [r for k in range(1, 6) for r in [np.eye(8)[k]] * 2]
+    nodes = spark.createDataFrame([(i, (v + 1e-3 * own.standard_normal(8)).tobytes()) for i, v in enumerate(rows)], "id long, raw binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(60)], "node long, root long")  # the pairs are missed
+    share, missed, true = nn_descent._audit(nodes, roots, 0.9, 70, 0, 32)
+    assert share == 0 and missed == 10 and true.count() == 60 * 59 + 10
+    asked = [{r.u for r in nn_descent._audit(nodes, roots, 0.9, 20, turn, 32)[2].collect()} for turn in (0, 1)]
+    assert asked[0] and asked[1] and not asked[0] & asked[1]
+
+
 # --- URLs
 
 
