@@ -2,7 +2,7 @@
 
 A graph of near neighbours starts from vectors that sort next to each other by random hyperplane signs. Each round every vector's
 neighbours, both ways, are compared with one another, and lists keep the nearest; lists that are full of links grow. When lists
-settle, recall is audited
+settle, groups larger than a list are compared with one another, as links between them may have been pushed out. Recall is audited
 against brute force on a bounded sample, with more rounds if it falls short and an exact comparison at last. Edges over the threshold are
 checked in double precision, and every linked group is then counted out in blocks, so links missing in lists still count.
 """
@@ -383,7 +383,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
 
     Equal vectors are one node with its number of copies. Null and zero vectors, vectors with null or non-finite numbers and rows without
     vec_id link with nothing; vectors of different lengths never link. component_id is the smallest vec_id that links reach, itself
-    included; kept: whether that is the row's own. Other columns are not read. If the audit finds a recall below ``recall``, lists start wider and the search is done again with what it found, twice at
+    included; kept: whether that is the row's own. Other columns are not read. Groups larger than a list are compared with one another
+    exactly. If the audit finds a recall below ``recall``, lists start wider and the search is done again with what it found, twice at
     most; each try is audited on other vectors. If the last one falls short too, all groups are compared exactly.
     """
     kind = dict(vectors.dtypes)["vec_id"]
@@ -411,6 +412,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         links = _exact(close, nodes, threshold)
         links = stored(links if more is None else links.unionByName(more), "vector-links")
         roots = _roots(links)
+        # A link leaves both its lists only if both are full of links, so both ends are in groups larger than a list.
+        large = roots.groupBy("root").count().where(F.col("count") > grown)
+        full = roots.join(large.select("root"), "root").join(nodes.withColumnRenamed("id", "node"), "node").select("root", F.col("node").alias("id"), "raw")
+        links, roots = _joined(links, roots, _across(full, threshold, large.count()))
         share, missed, true = _audit(nodes, roots, threshold, AUDIT, turn, grown)
         if missed:
             links, roots = _joined(links, roots, true)

@@ -166,6 +166,19 @@ def test_large_groups_are_counted_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(frame).collect()} == {(119, 0)}
 
 
+def two_groups(own, size):
+    """Vectors of two tight groups, whose cosines across are about 0.94."""
+    far = np.arccos(0.94)
+    centres = np.eye(32)[0], np.cos(far) * np.eye(32)[0] + np.sin(far) * np.eye(32)[1]
+    return [c + 0.004 * own.standard_normal(32) for c in centres for _ in range(size)]
+
+
+def test_links_across_groups_that_fill_their_lists(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 0)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(two_groups(np.random.default_rng(2), 60))], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.component_id) for r in nn_descent.near_duplicates(frame).collect()} == {(119, 0)}
+
+
 def test_a_search_that_finds_nothing_ends_in_an_exact_one(spark, monkeypatch):
     none = lambda nodes, *_: nodes.selectExpr("id AS u", "id AS v", "0d AS sim").where("false")
     monkeypatch.setattr(nn_descent, "_first_graph", none)
