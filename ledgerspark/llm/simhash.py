@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import UPPER, discard, stored
+from ledgerspark.llm.common import UPPER, discard, stored, text_hash
 from ledgerspark.llm.graph import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -28,21 +28,31 @@ KEY_ROWS = 100_000
 CHUNK = 1 << 20
 
 
-def simhash(text: bytes, words: int = 4, seed: int = 42, lanes: int = 1) -> list[int]:
-    """SimHash of the word shingles in lanes of 64 bits, repeats counted; no words: 0; fewer words than asked: one shingle.
-
-    The first lane is of XXH64 itself, each further one of the same hashes mixed with another odd factor.
-    """
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle in order; no words: none; fewer words than asked: one shingle."""
     parts = text.translate(_LOWER).split()
     if not parts:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     size = min(words, len(parts))
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(parts) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(line[s:e], seed) for s, e in spans), np.uint64)
+    return np.fromiter((one(line[s:e], seed) for s, e in spans), np.uint64)
+
+
+def simhash(text: bytes, words: int = 4, seed: int = 42, lanes: int = 1) -> list[int]:
+    """SimHash of the word shingles in lanes of 64 bits, repeats counted; no words: 0; fewer words than asked: one shingle.
+
+    The first lane is of XXH64 itself, each further one of the same hashes mixed with another odd factor.
+    """
+    return _bits(shingle_hashes(text, words, seed), lanes)
+
+
+def _bits(hashes: np.ndarray, lanes: int) -> list[int]:
+    if not len(hashes):
+        return [0] * lanes
     out = []
     for lane in range(lanes):
         counts = np.zeros(64, np.int64)
@@ -94,9 +104,9 @@ def plan_segments(entries: int, radius: int, bits: int = 64) -> list[tuple[int,
 
 
 def estimated_radius(similarity: float, bits: int) -> int:
-    """Differing bits up to which shingles may have the given Jaccard similarity: the expected number and 1.5 deviations."""
+    """Differing bits up to which shingles may have the given Jaccard similarity: the expected number and 3 deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def _apart(many: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -265,25 +275,133 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 
 
 #: Segments of a wide fingerprint: any of these within one bit makes a pair that is looked at.
-WIDE_SEGMENT = 18
+WIDE_SEGMENT = 16
+#: Bytes of shingle sets in a block.
+SET_BYTES = 8 << 20
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
-    """``(doc_id, component_id)``, one row per row of ``docs``, linked where word shingles may be alike by ``similarity`` (Jaccard).
+    """``(doc_id, component_id)``, one row per row of ``docs``, linked where sets of word shingles are alike by ``similarity`` (Jaccard).
+
+    See :func:`similar_texts`. Nulls, empty texts and repeated rows are as in :func:`near_duplicates`.
+    """
+    return similar_texts(docs, similarity, words, lanes).select("doc_id", "component_id")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
+    """``(doc_id, text_key, root, component_id)``: rows of one component share a root, whatever their ids.
 
-    The likeness is read off ``lanes`` * 64 bits, 1.5 standard deviations in favour of a link. A pair is looked at if a segment of
-    18 bits differs in at most one: of pairs at 0.8 that misses about 3 in 100, at 0.9 about 1 in 2,000. Nulls, empty texts and repeated
-    rows are as in :func:`near_duplicates`.
+    Different sets of shingles are the nodes. ``lanes`` * 64 bits, with 3 standard deviations in favour of a link, only choose groups to
+    look at. A pair is looked at if a segment of 16 bits differs in at most one: of pairs at 0.8 that misses about 5 in 1,000. Links are then
+    decided on the sets themselves.
     """
     names = [f"w{i}" for i in range(lanes)]
-    prints = stored(fingerprints(docs, words, lanes=lanes), "simhash")
-    distinct = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    nodes = distinct.withColumn("node", F.coalesce(F.col("first_id").cast("long"), F.xxhash64(*names)))
+    prints = stored(_sketches(docs, words, lanes, False), "simhash")
+    nodes = stored(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key")), "simhash-distinct")
     plan = [(low, WIDE_SEGMENT, 1) for low in range(0, 64 * lanes - WIDE_SEGMENT + 1, WIDE_SEGMENT)]
-    found = links(nodes.select("node", *names), estimated_radius(similarity, 64 * lanes), plan)
-    named = _named(nodes, names, found)
-    discard(distinct)
-    return prints.join(named, names).select("doc_id", "component_id")
+    groups = components(links(nodes.select("node", *names), estimated_radius(similarity, 64 * lanes), plan))
+    some = docs.select("doc_id", "text").withColumn("text_key", text_hash())
+    some = some.join(nodes.join(groups, "node", "left_semi").select("text_key"), "text_key", "left_semi").drop("text_key")
+    sets = _sketches(some, words, 0, True).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    members = stored(groups.join(sets, "node"), "shingle-sets")
+    roots = components(_alike(members, similarity))
+    joined = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stored(joined.join(least, "root").select("node", "root", "component_id"), "simhash-components")
+    discard(nodes, groups, members, roots)
+    return prints.join(named, "node").select("doc_id", "text_key", "root", "component_id")
+
+
+def _sketches(docs: DataFrame, words: int, lanes: int, sets: bool) -> DataFrame:
+    """``(doc_id, text_key, node, w0, ...)``, or ``(node, shingles)``: the different hashes of a text's shingles, sorted; node names the set."""
+    names = [f"w{i}" for i in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
+            shingles = [np.unique(shingle_hashes(t, words)) for t in texts]
+            node = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in shingles], np.uint64).view(np.int64))
+            if sets:
+                yield pa.RecordBatch.from_arrays([node, pa.array([x.tobytes() for x in shingles], pa.binary())], ["node", "shingles"])
+                continue
+            made = np.array([_bits(x, lanes) for x in shingles], np.uint64).reshape(-1, lanes)
+            columns = [pa.array(np.ascontiguousarray(made[:, i]).view(np.int64)) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, *columns], ["doc_id", "text_key", "node", *names])
+
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long"
+    schema = "node long, shingles binary" if sets else ", ".join([kind, *[f"{n} long" for n in names]])
+    return docs.select("doc_id", "text", text_hash().alias("text_key")).mapInArrow(run, schema)
+
+
+def _alike(members: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: enough links between sets of one group (``root, node, shingles``) to connect every pair that is alike.
+
+    Each set is held against its group's first. Sets unlike that one then meet all others of the group in blocks of ``SET_BYTES``.
+    """
+    first = members.where("node = root").select("root", F.col("shingles").alias("lead"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], ["root", "node", "near"])
+
+    held = stored(
+        members.join(first, "root").select("root", "node", "shingles", "lead").mapInArrow(judge, "root long, node long, near boolean"), "judged"
+    )
+    star = held.where("near AND node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    rows = members.join(held.select("node", "near"), "node")
+    size = lambda near: F.ceil(F.coalesce(F.sum(F.when(F.col("near") == near, F.length("shingles"))), F.lit(0)) / SET_BYTES).cast("int")
+    blocks = rows.groupBy("root").agg(size(False).alias("others"), size(True).alias("ours")).where("others > 0")
+    mine = F.when(F.col("near"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("ours"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    ends = F.when(F.col("near"), F.col("others")).otherwise(F.col("others") + F.col("ours")) - 1
+    dealt = rows.join(blocks, "root").select("root", "node", "near", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), ends)).alias("other"))
+    cell = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kept and kept[0][0] != row[0]:
+                    yield _set_links(kept, similarity)
+                    kept = []
+                kept.append(row)
+        if kept:
+            yield _set_links(kept, similarity)
+
+    met = dealt.select(cell, "node", "near", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return star.unionByName(met)
+
+
+def _set_links(rows: list[tuple], similarity: float) -> pa.RecordBatch:
+    """Links of one cell (``cell, node, near, shingles``), breadth first from the sets that are not near the group's first one."""
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    near = np.array([r[2] for r in rows])
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    seen = near.copy()
+    a, b = [], []
+    for start in np.flatnonzero(~near).tolist():
+        queue = [] if seen[start] else [start]
+        seen[start] = True
+        while queue:
+            at = queue.pop()
+            low, high = np.searchsorted(flat, sets[at]), np.searchsorted(flat, sets[at], "right")
+            both = np.zeros(len(sets), np.int64)
+            for i in range(0, len(low), 1024):
+                spans = [owner[x:y] for x, y in zip(low[i : i + 1024], high[i : i + 1024], strict=True)]
+                both += np.bincount(np.concatenate(spans), minlength=len(sets))
+            like = both >= similarity * (sizes + sizes[at] - both)
+            reached = [*np.flatnonzero(like & near)[:1].tolist(), *(new := np.flatnonzero(like & ~seen).tolist())]
+            a += [rows[at][1]] * len(reached)
+            b += [rows[x][1] for x in reached]
+            seen[new] = True
+            queue += new
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _named(nodes: DataFrame, names: list[str], found: DataFrame) -> DataFrame:

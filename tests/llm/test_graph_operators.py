@@ -120,6 +120,28 @@ def test_similar_documents_at_eight_tenths(docs):
     assert len(low) >= 20 and sum(low) <= 0.05 * len(low)
 
 
+@pytest.mark.parametrize("size", [None, 3000])
+def test_similar_documents_by_their_shingle_sets(docs, monkeypatch, size):
+    if size:
+        monkeypatch.setattr(simhash, "SET_BYTES", size)
+    own = random.Random(4)
+    rows = []
+    for k in range(24):
+        words = prose(3000 + k, 400).split()
+        other = list(words)
+        for at in range(0, 400, 400 // (8 + k)):
+            other[at] = own.choice("xyz") + "changed"
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(other[:380]))]
+    line = "one line that is repeated very often " * 300
+    rows += [(900, line + prose(1, 100)), (901, line + prose(2, 100)), (902, line + line + prose(1, 100))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    assert any(0.6 < x < 0.8 for x in like.values())
+    found = simhash.similar_documents(docs(*rows)).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert len(found) == len(rows) and got == roots_of(sets, [p for p, x in like.items() if x >= 0.8])
+
+
 def test_simhash_of_edges_and_nothing(docs):
     got = simhash.near_duplicates(docs(*EDGES)).collect()
     assert len(got) == len(EDGES)
