@@ -326,6 +326,15 @@ def test_repeated_rows_under_one_id_leave_one(spark, docs):
     assert sorted(map(repr, (r.doc_id for r in got))) == ["1", "None"]
 
 
+def test_rows_without_an_id_stay_unless_they_are_copies(spark, docs):
+    texts = [prose(70 + k, 40) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (5, texts[3]), (4, texts[3]), (4, texts[0])]
+    got = corpus_pipeline.without_near_copies(spark, docs(*rows), None).collect()
+    assert sorted((r.doc_id or 0, texts.index(r.text)) for r in got if texts.index(r.text) in (1, 2)) == [(0, 1), (5, 2)]
+    got = corpus_pipeline.without_near_copies(spark, docs(*[(None, x) for x in texts]), None).collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+
+
 def test_crc_of_ids_is_the_given_one(spark):
     from ledgerspark.llm.language import in_training
 
