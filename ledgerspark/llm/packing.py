@@ -17,6 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ledgerspark.llm.common import stored
 
@@ -37,6 +38,22 @@ def _encoder(ranks_path: str, special: str, special_id: int) -> tiktoken.Encodin
     )
 
 
+@cache
+def _library(ranks_path: str) -> Tokenizer:
+    """The same vocabulary in the library's form, which lies beside the ranks."""
+    return Tokenizer.from_file(f"{ranks_path.removesuffix('.tiktoken')}.json")
+
+
+def _ids(text: str, ranks_path: str, special: str, special_id: int) -> list[int]:
+    """Token ids; a run of blanks too long for the rank encoder's pattern is left to the tokenizers library."""
+    try:
+        return _encoder(ranks_path, special, special_id).encode(text, allowed_special="all")
+    except ValueError as error:
+        if "Max stack size" not in str(error):
+            raise
+        return _library(ranks_path).encode(text, add_special_tokens=False).ids
+
+
 def pieces(
     docs: DataFrame,
     capacity: int = 1024,
@@ -48,17 +65,16 @@ def pieces(
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and the separator, cut only if too long.
 
     The ids are those the tokenizers library gives for the same vocabulary; ranks are read from ``ranks_path`` because
-    the rank encoder is four times as fast. A text that holds ``special`` gets its id there. All pieces but the first are full. Null
+    the rank encoder is four times as fast; a text it cannot split is given to that library. A text that holds ``special`` gets its id there. All pieces but the first are full. Null
     text counts as empty and gives the separator alone.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(str(path), special, special_id).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), separator], "<u4")
+                ids = np.array([*_ids(text.as_py() or "", str(path), special, special_id), separator], "<u4")
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):

@@ -46,6 +46,13 @@ def test_pieces_are_the_tokenizers_ids_and_bins_hold_them(docs):
         assert at <= 1024
 
 
+def test_runs_of_over_a_million_blanks(docs):
+    own = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [blank * 1_100_000 + "a<|endoftext|> b" for blank in " \n"]
+    got = packing.pieces(docs(*enumerate(texts))).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 @given(st.lists(st.integers(1, 50), max_size=200))
 def test_best_fit_takes_the_fullest_bin_with_room(sizes):
     room = []
