@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from llm_cases import EDGES, prose
+from .llm_cases import EDGES, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_cases import EDGES, prose
+from .llm_cases import EDGES, prose
 from tokenizers import Tokenizer
 
 from ledgerspark.llm import bpe, language, lines, order_minhash, packing, secrets
