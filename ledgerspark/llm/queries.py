@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash, url_filters
+from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash, url_filters, winnowing
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9."""
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_benchmark_decontamination", winnowing.SQL)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in ten-word windows of benchmark items."""
+    return winnowing.digest(winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
