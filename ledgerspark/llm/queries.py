@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash, url_filters, winnowing
+from ledgerspark.llm import bpe, filter_audit, html, language, lines, nn_descent, order_minhash, packing, secrets, simhash, spelling, url_filters, winnowing
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +86,19 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_filter_interaction_audit", filter_audit.SQL)
+def filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each place of all their orders, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_benchmark_decontamination", winnowing.SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in ten-word windows of benchmark items."""
     return winnowing.digest(winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word that each may be a misspelling of."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
