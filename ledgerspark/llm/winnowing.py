@@ -19,6 +19,8 @@ SPAN = 10
 GRAM = 6
 #: Largest number of item rows that is broadcast (about 16 bytes each for hashes, 400 with their words); more are shuffled.
 BROADCAST_ROWS = 100_000
+#: Longs in the bitmap of item hashes: four a hash, up to this. A fuller one lets more places of texts on to the join, and loses none.
+BITMAP_LONGS = 1 << 14
 #: What separates words: ASCII but digits and small letters, once A-Z is lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -118,27 +120,45 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def bitmap(items: DataFrame) -> Callable[[Column], Column]:
+    """A test for marks whose hash may be that of an item, by the low bits of the hash: one long of the bitmap a row on the way to the driver."""
+    hashes = items.select("hash").distinct()
+    longs = 1
+    while longs < min(hashes.count() * 4, BITMAP_LONGS):
+        longs *= 2
+    slot = hashes.select(
+        F.shiftright("hash", 6).bitwiseAND(F.lit(longs - 1)).alias("at"), F.expr("shiftleft(1L, cast(hash & 63 AS int))").alias("bit")
+    )
+    filled = {r["at"]: r["bits"] for r in slot.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}
+    # A constant: an array made of one string is folded when the query is planned.
+    held = F.split(F.lit(",".join(str(filled.get(k, 0)) for k in range(longs))), ",").cast("array<long>")
+
+    def may_have(mark: Column) -> Column:
+        at = F.shiftright(mark, 38).bitwiseAND(F.lit(longs - 1)).cast("int")
+        return F.getbit(F.get(held, at), F.shiftright(mark, 32).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return may_have
+
+
 def matches(docs: DataFrame, items: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     """``(doc_id, text_key, c1, c2, start, stop)``: stretches of words that hold a window of an item, at one of its contexts."""
     if not kinds:
         kinds = [(1, 1)]
+    bits = bitmap(items)
     rows = docs.select("doc_id", text_hash().alias("text_key"), words_of().alias("words"))
-    marks = lambda w: F.concat(*[minima(w, k, window) for k, window in kinds])
-    kept = rows.select("doc_id", "text_key", F.explode(bound(F.col("words"), marks)).alias("mark")).select("*", _hash())
-    hits = kept.join(_small(items.select("hash").distinct()), "hash")
-    hits = stored(hits.groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("marks")), "hit-marks")
-    of = hits.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "marks")
-    met = rows.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    cut = lambda words: F.transform(
-        "marks",
-        lambda m: bound(
+
+    def places(words: Column) -> Column:
+        """Kept hashes that an item may have, with the words around."""
+        marks = F.filter(F.concat(*[minima(words, k, window) for k, window in kinds]), bits)
+        around = lambda m: bound(
             m.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"),
             lambda at: F.struct(
                 m.alias("mark"), F.slice(words, at + 1, SPAN).alias("ahead"), _before(words, at, F.lit(SPAN - 1)).alias("back")
             ),
-        ),
-    )
-    near = met.select("doc_id", "text_key", F.explode(bound(F.col("words"), cut)).alias("x")).select(
+        )
+        return F.transform(marks, around)
+
+    near = rows.select("doc_id", "text_key", F.explode(bound(F.col("words"), places)).alias("x")).select(
         "doc_id", "text_key", F.col("x.mark").alias("mark"), F.col("x.ahead").alias("own_ahead"), F.col("x.back").alias("own_back")
     )
     pairs = near.select("*", _hash(), _place()).join(_small(items), "hash")
