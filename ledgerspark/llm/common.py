@@ -46,6 +46,18 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case: the given ones, with underscores before them until they are free."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

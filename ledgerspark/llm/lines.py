@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import BLANKS, ascii_lower, stored, text_hash, text_of
+from ledgerspark.llm.common import BLANKS, ascii_lower, stored, text_hash, text_of, unused
 
 #: Parts into which the documents of one key are dealt, so that no key lies in one task.
 SLICES = 256
@@ -82,27 +82,25 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
     names of the results are replaced.
     """
     made = {"n_lines", "n_dropped", "keep_runs", "kept_text"}
+    own_key, of_id, of_key, gone = unused(docs, "own_key", "of_id", "of_key", "gone")
     maps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(
-        F.col("doc_id").alias("_map_id"), F.col("text_key").alias("_map_key"), F.col("dropped").alias("_map_dropped")
+        F.col("doc_id").alias(of_id), F.col("text_key").alias(of_key), F.col("dropped").alias(gone)
     )
-    plain = docs.select(*[c for c in docs.columns if c not in made], text_hash().alias("_map_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_map_id")) & (F.col("_map_text") == F.col("_map_key"))
-    joined = plain.join(maps, same, "left")
-    dropped = F.coalesce(F.col("_map_dropped"), F.array().cast("array<int>"))
+    plain = docs.select(*[c for c in docs.columns if c.lower() not in made], text_hash().alias(own_key))
+    joined = plain.join(maps, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own_key) == F.col(of_key)), "left")
+    dropped = F.coalesce(F.col(gone), F.array().cast("array<int>"))
     lines = lines_of(text_of())
     n_lines = F.size(lines).cast("long")
     runs = keep_runs(n_lines, dropped)
-    kept = F.when(F.col("_map_dropped").isNull(), text_of()).otherwise(
-        F.array_join(F.flatten(_cut(lines, F.col("keep_runs"))), "\n")
-    )
+    kept = F.when(F.col(gone).isNull(), text_of()).otherwise(F.array_join(F.flatten(_cut(lines, F.col("keep_runs"))), "\n"))
     out = joined.select(
-        *[c for c in plain.columns if c != "_map_text"],
+        *[c for c in plain.columns if c != own_key],
         n_lines.alias("n_lines"),
         F.size(dropped).cast("long").alias("n_dropped"),
         runs.alias("keep_runs"),
-        "_map_dropped",
+        gone,
     )
-    return out.select("*", kept.alias("kept_text")).drop("_map_dropped")
+    return out.select("*", kept.alias("kept_text")).drop(gone)
 
 
 def _cut(lines: Column, runs: Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored, text_hash, text_of
+from ledgerspark.llm.common import stored, text_hash, text_of, unused
 
 #: Trigrams held in one posting mask.
 MASK_BITS = 62
@@ -258,14 +258,16 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, mark: str =
     rows = rows.select(
         "_span_id", "_span_key", "_i", "_span", F.coalesce(F.max("_span.stop").over(upto), F.lit(0)).alias("_done")
     )
-    last = F.max("_span.stop").alias("_last")
+    own_key, of_id, of_key, gaps, last = unused(docs, "own_key", "of_id", "of_key", "gaps", "last")
     gap = F.when((F.col("_span.start") >= F.col("_done")), F.struct("_i", F.col("_done").alias("a"), F.col("_span.start").alias("b")))
-    cuts = rows.groupBy("_span_id", "_span_key").agg(F.array_sort(F.collect_list(gap)).alias("_gaps"), last)
-    same = F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.col("_text_key") == F.col("_span_key"))
-    joined = docs.select("*", text_hash().alias("_text_key")).join(stored(cuts, "gaps"), same, "left")
-    pieces = F.transform("_gaps", lambda g: F.substring(F.col("text"), g["a"] + 1, g["b"] - g["a"]))
-    tail = F.substring(F.col("text"), F.col("_last") + 1, F.char_length("text"))
-    text = F.when(F.col("_gaps").isNull(), F.col("text")).otherwise(F.concat_ws(mark, F.array_join(pieces, mark), tail))
+    cuts = rows.groupBy(F.col("_span_id").alias(of_id), F.col("_span_key").alias(of_key)).agg(
+        F.array_sort(F.collect_list(gap)).alias(gaps), F.max("_span.stop").alias(last)
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own_key) == F.col(of_key))
+    joined = docs.select("*", text_hash().alias(own_key)).join(stored(cuts, "gaps"), same, "left")
+    pieces = F.transform(gaps, lambda g: F.substring(F.col("text"), g["a"] + 1, g["b"] - g["a"]))
+    tail = F.substring(F.col("text"), F.col(last) + 1, F.char_length("text"))
+    text = F.when(F.col(gaps).isNull(), F.col("text")).otherwise(F.concat_ws(mark, F.array_join(pieces, mark), tail))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

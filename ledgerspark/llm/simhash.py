@@ -170,7 +170,7 @@ def _entries(part: int, low: int, width: int, own: int, fps: np.ndarray) -> tupl
     if off + width > 64:
         value = value | (fps[:, lane + 1] << np.uint64(64 - off))
     if width < 64:
-        value = (value & np.uint64((1 << width) - 1)) | np.uint64(part << 58)
+        value = (value & np.uint64((1 << width) - 1)) | np.uint64(part % 64 << 58)
     rows = np.arange(len(fps))
     keys, at = [value], [rows]
     for size in range(1, own + 1):
@@ -261,6 +261,7 @@ def _in_blocks(rows: DataFrame, hot: DataFrame, key_rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``; every pair within ``radius`` bits of 64 is linked.
 
+    Texts are read whole, however long, and an empty table gives no rows.
     component_id is the smallest doc_id that links reach, the document itself included. Null, empty and blank texts have
     fingerprint zero and are linked like any other. A null doc_id keeps its row; it names a component only if no other
     id is in it. Other columns of ``docs`` are not read.
@@ -274,31 +275,45 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     return prints.join(named, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Segments of a wide fingerprint: any of these within one bit makes a pair that is looked at.
+#: Least bits in a segment of a wide fingerprint; any segment within one bit makes a pair that is looked at.
 WIDE_SEGMENT = 16
+#: Share of the pairs just as similar as asked that no segment may bring together.
+MISSED = 0.006
 #: Bytes of shingle sets in a block.
 SET_BYTES = 8 << 20
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
+def wide_plan(entries: int, similarity: float, missed: float = MISSED) -> tuple[int, list[tuple[int, int, int]]]:
+    """``(lanes, segments)`` for so many fingerprints: segments get a bit longer each time the number doubles, and so many more.
+
+    Chance meets then stay about the same for each fingerprint, however many there are, and the recall of similar ones too.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = min(56, max(WIDE_SEGMENT, math.ceil(math.log2(max(entries, 2))) - 2))
+    meet = (1 - share) ** width + width * share * (1 - share) ** (width - 1)
+    parts = math.ceil(math.log(missed) / math.log1p(-meet))
+    return math.ceil(parts * width / 64), [(k * width, width, 1) for k in range(parts)]
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """``(doc_id, component_id)``, one row per row of ``docs``, linked where sets of word shingles are alike by ``similarity`` (Jaccard).
 
     See :func:`similar_texts`. Nulls, empty texts and repeated rows are as in :func:`near_duplicates`.
     """
-    return similar_texts(docs, similarity, words, lanes).select("doc_id", "component_id")
+    return similar_texts(docs, similarity, words).select("doc_id", "component_id")
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """``(doc_id, text_key, root, component_id)``: rows of one component share a root, whatever their ids.
 
-    Different sets of shingles are the nodes. ``lanes`` * 64 bits, with 3 standard deviations in favour of a link, only choose groups to
-    look at. A pair is looked at if a segment of 16 bits differs in at most one: of pairs at 0.8 that misses about 5 in 1,000. Links are then
-    decided on the sets themselves.
+    Different sets of shingles are the nodes. Wide fingerprints, with 3 standard deviations in favour of a link, only choose groups to
+    look at. A pair is looked at if a segment differs in at most one bit (:func:`wide_plan`): of pairs at 0.8 that misses about 5 in 1,000.
+    Links are then decided on the sets themselves.
     """
+    lanes, plan = wide_plan(docs.count(), similarity)
     names = [f"w{i}" for i in range(lanes)]
     prints = stored(_sketches(docs, words, lanes, False), "simhash")
     nodes = stored(prints.groupBy("node", *names).agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key")), "simhash-distinct")
-    plan = [(low, WIDE_SEGMENT, 1) for low in range(0, 64 * lanes - WIDE_SEGMENT + 1, WIDE_SEGMENT)]
     groups = components(links(nodes.select("node", *names), estimated_radius(similarity, 64 * lanes), plan))
     some = docs.select("doc_id", "text").withColumn("text_key", text_hash())
     some = some.join(nodes.join(groups, "node", "left_semi").select("text_key"), "text_key", "left_semi").drop("text_key")
