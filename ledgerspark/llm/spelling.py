@@ -132,10 +132,12 @@ def by_length(words: list[str]) -> dict[int, np.ndarray]:
 
 
 def plan_boxes(words: DataFrame, sample: int = SAMPLE, box: int = BOX) -> dict[int, KdTree]:
-    """A tree for each length in a sample of at most ``sample`` words, those of the least hashes."""
+    """A tree for each length in a sample of about ``sample`` words, chosen by their hashes."""
     short = words.where(F.char_length("word") <= SAMPLE_CHARS)
     n = short.count()
-    drawn = [r.word for r in short.orderBy(F.xxhash64("word"), "word").select("word").limit(sample).collect()]
+    share = min(1.0, sample / max(n, 1))
+    low = F.shiftrightunsigned(F.xxhash64("word"), 32) < int(share * 2.0**32)
+    drawn = sorted(r.word for r in short.where(low).select("word").collect())
     size = max(1.0, box * len(drawn) / max(n, 1))
     return {length: KdTree(letter_counts([drawn[k] for k in own]), size) for length, own in by_length(drawn).items()}
 
