@@ -23,8 +23,8 @@ HASH_BITS = 18
 _SIZE = 1 << HASH_BITS
 #: Parts of a language in which training documents are ranked first.
 SALTS = 64
-#: Landmarks of all languages together; texts that are scored at a time; tasks that sum the normal equations.
-MOST_LANDMARKS, BATCH, TASKS = 512, 64, 8
+#: Landmarks of all languages together; texts that are scored at a time; rows of weights summed at a time; tasks that sum the normal equations.
+MOST_LANDMARKS, BATCH, ROWS, TASKS = 512, 64, 4096, 8
 #: Bytes of weights up to which landmarks are folded into n-gram weights, and those of a model that may be broadcast.
 FOLD_BYTES, BROADCAST_BYTES = 256 << 20, 1 << 30
 
@@ -94,14 +94,14 @@ def training_sample(docs: DataFrame, per_class: int, orders: int) -> DataFrame:
 
 
 def overlaps(basis: np.ndarray, slot: np.ndarray, texts: list[np.ndarray], kind=np.float64) -> np.ndarray:
-    """Sums of the rows of ``basis`` over the n-grams of each text."""
+    """Sums of the rows of ``basis`` over the n-grams of each text, taken ``ROWS`` at a time."""
     out = np.zeros((len(texts), basis.shape[1]), kind)
-    sizes = np.array([len(g) for g in texts])
-    full = np.flatnonzero(sizes)
-    if len(full):
-        starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-        out[full] = np.add.reduceat(basis[slot[np.concatenate(texts)]], starts, axis=0, dtype=kind)
-    return out / np.sqrt(np.maximum(1, sizes))[:, None]
+    for k, found in enumerate(texts):
+        rows = slot[found]
+        for at in range(0, len(rows), ROWS):
+            out[k] += basis[rows[at : at + ROWS]].sum(axis=0, dtype=kind)
+        out[k] /= np.sqrt(max(1, len(rows)))
+    return out
 
 
 def presence(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
