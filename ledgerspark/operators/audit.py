@@ -183,16 +183,21 @@ def accepted(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return good.join(snapshots.select("transaction_id"), "transaction_id", "left_semi")
 
 
-def correction_log(
-    requests: DataFrame, ledger: DataFrame, snapshots: DataFrame, hot: Hot | None = None
-) -> DataFrame:
-    """History entries in time order, each with its changes against the state before it; empty ones are dropped."""
+def logged(requests: DataFrame, ledger: DataFrame, snapshots: DataFrame, hot: Hot | None = None) -> DataFrame:
+    """Accepted requests with their ``changes`` against the state before them and the ``new`` state; empty ones are dropped."""
     asked = accepted(requests, snapshots).withColumn("new", _row())
     asked = with_ordered(asked, ["transaction_id"], ["ts", "request_no"], {"before": lag(F.col("new"))}, hot)
     current = ledger.select(F.col("id").alias("transaction_id"), _row().alias("current"))
     out = asked.join(current, "transaction_id")
     changes = diff(F.coalesce(F.col("before"), F.col("current")), F.col("new"))
-    out = out.withColumn("changes", changes).filter(F.size("changes") > 0)
+    return out.withColumn("changes", changes).filter(F.size("changes") > 0)
+
+
+def correction_log(
+    requests: DataFrame, ledger: DataFrame, snapshots: DataFrame, hot: Hot | None = None
+) -> DataFrame:
+    """History entries in time order, each with its changes against the state before it; empty ones are dropped."""
+    out = logged(requests, ledger, snapshots, hot)
     return out.select("transaction_id", "ts", "request_no", "user_id", "reason", "changes")
 
 

@@ -12,5 +12,6 @@ from ledgerspark.plans import (  # noqa: F401,E402
     profiled,
     reviewing,
     scalars,
+    stores,
     streams,
 )
