@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as sre_parse
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,22 +260,108 @@ def file_texts(lines: DataFrame, pages: int = 4) -> DataFrame:
     return out.select("file_id", F.array_join(F.col("_l")["line_text"], "\n").alias("text"))
 
 
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _folded(text: Column) -> Column:
+    """a-z as capitals and nothing else, as patterns that ignore case compare."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.upper(text)).otherwise(F.translate(text, _LOWER, _UPPER))
+
+
+def fold(text: str) -> str:
+    return "".join(c.upper() if c in _LOWER else c for c in text)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """Ways of a pattern that are split at its outermost bars."""
+    ways, depth, at = [""], 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            ways[-1] += pattern[at : at + 2]
+            at += 2
+            continue
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            ways.append("")
+        else:
+            ways[-1] += c
+        at += 1
+    return ways
+
+
+def _piece(way: str) -> tuple[str, bool]:
+    """The longest literal that every match of one way holds, and whether it is all of the way; empty if there is none."""
+    run, best, exact = "", "", True
+    for kind, value in sre_parse.parse(way):
+        if kind is sre.LITERAL:
+            run += chr(value)
+            best = max(best, run, key=len)
+        else:
+            run, exact = "", False
+    return fold(best), exact
+
+
+def needed(pattern: str) -> tuple[list[str], bool] | None:
+    """``(pieces, exact)``: every match holds one of the pieces, in capitals; exact if the pieces alone are the pattern. None if unknown."""
+    found = [_piece(way) for way in _alternatives(pattern)]
+    if not all(piece for piece, _ in found):
+        return None
+    return sorted({piece for piece, _ in found}), all(exact for _, exact in found)
+
+
+def pattern_test(pattern: str) -> Column:
+    """Whether ``text`` has the pattern: pieces are looked for in ``folded``, and the pattern is only tried on texts that have one."""
+    known = needed(pattern)
+    whole = F.col("text").rlike("(?i)" + pattern)
+    if known is None:
+        return whole
+    pieces, exact = known
+    has = F.lit(False)
+    for piece in pieces:
+        has = has | F.col("folded").contains(piece)
+    return has if exact else has & whole
+
+
+#: Every signal as the name of its bank and its own, in order; its number is its bit, 63 to a long.
+NAMES_OF_SIGNALS = [f"{bank}_{signal}" for bank, rules in SIGNALS.items() for signal, _, _, _ in rules]
+_BIT = {name: divmod(k, 63) for k, name in enumerate(NAMES_OF_SIGNALS)}
+_LONGS = 1 + max(part for part, _ in _BIT.values())
+
+
 def signal_flags(texts: DataFrame) -> DataFrame:
-    """Names of the signals found per file, as one array ``h``.
+    """``(file_id, text, h0, h1, ...)``: the signals found per file as bits.
 
-    An array that is searched by name stays a column of its own in the plan; a struct of flags would be folded into
-    every use and each pattern tested again and again.
+    A pattern that several banks share is tested once. Tests stay in one array of the plan, so that none is repeated for a later use.
     """
-    found = [
-        F.when(F.col("text").rlike("(?i)" + pattern), F.lit(f"{bank}_{signal}"))
-        for bank, rules in SIGNALS.items()
-        for signal, pattern, _, _ in rules
-    ]
-    return texts.select("file_id", "text", F.array_compact(F.array(*found)).alias("h"))
+    alike: dict[tuple, tuple[str, list[str]]] = {}
+    for bank, rules in SIGNALS.items():
+        for signal, pattern, _, _ in rules:
+            known = needed(pattern)
+            key = (tuple(known[0]),) if known and known[1] else (pattern, None)
+            alike.setdefault(key, (pattern, []))[1].append(f"{bank}_{signal}")
+    rows = texts.select("file_id", "text", _folded(F.col("text")).alias("folded"))
+    rows = rows.select("file_id", "text", F.array(*[pattern_test(p) for p, _ in alike.values()]).alias("tests"))
+    bits = []
+    for part in range(_LONGS):
+        total = F.lit(0).cast("long")
+        for k, (_, names) in enumerate(alike.values()):
+            if own := sum(1 << _BIT[n][1] for n in names if _BIT[n][0] == part):
+                total = total + F.when(F.get("tests", F.lit(k)), F.lit(own).cast("long")).otherwise(0)
+        bits.append(total.alias(f"h{part}"))
+    return rows.select("file_id", "text", *bits)
+
+
+def signal_names(flags: DataFrame) -> DataFrame:
+    """``(file_id, name)`` of the signals found."""
+    found = F.array(*[F.when(_h(n), F.lit(n)) for n in NAMES_OF_SIGNALS])
+    return flags.select("file_id", F.explode(F.array_compact(found)).alias("name"))
 
 
 def _h(name: str) -> Column:
-    return F.array_contains("h", name)
+    part, bit = _BIT[name]
+    return F.col(f"h{part}").bitwiseAND(F.lit(1 << bit)) != 0
 
 
 def _count(*names: str) -> Column:

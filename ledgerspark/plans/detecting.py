@@ -115,8 +115,7 @@ def scored(led: Ledger) -> DataFrame:
 )
 def bank_signals(led: Ledger) -> DataFrame:
     flags = D.signal_flags(D.file_texts(headings(led).lines))
-    name = F.explode("h").alias("name")
-    out = flags.select("file_id", name)
+    out = D.signal_names(flags)
     bank = F.substring_index("name", "_", 1)
     return out.select("file_id", bank.alias("bank"), F.expr("substring(name, length(substring_index(name, '_', 1)) + 2)").alias("signal"))
 
