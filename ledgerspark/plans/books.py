@@ -401,13 +401,6 @@ def _same(name: str, old: str, new: str) -> str:
     return f"{old} IS NOT DISTINCT FROM {new}"
 
 
-DIFF_SQL = " UNION ALL ".join(
-    f"""SELECT n.transaction_id, n.request_no, {i} AS field_order, '{name}' AS field_name,
- {expr.format(r='o')} AS old_value, {expr.format(r='n')} AS new_value
- FROM accepted_requests n JOIN before_requests o ON o.transaction_id = n.transaction_id AND o.request_no = n.request_no
- WHERE NOT ({_same(name, expr.format(r='o'), expr.format(r='n'))})"""
-    for i, (name, expr) in enumerate(FIELD_DIFFS)
-)
 cte(
     "before_requests",
     """SELECT n.transaction_id, n.request_no, l.transaction_date,
@@ -420,6 +413,19 @@ cte(
 )
 
 
+_FIELD_STRUCTS = ", ".join(
+    f"""{{'field_order': {i}, 'field_name': '{name}', 'old_value': {expr.format(r="o")}, 'new_value': {expr.format(r="n")},
+ 'same': {_same(name, expr.format(r="o"), expr.format(r="n"))}}}"""
+    for i, (name, expr) in enumerate(FIELD_DIFFS)
+)
+cte(
+    "request_changes",
+    f"""SELECT transaction_id, request_no, u.field_order, u.field_name, u.old_value, u.new_value FROM (SELECT n.transaction_id,
+ n.request_no, unnest([{_FIELD_STRUCTS}]) AS u FROM accepted_requests n JOIN before_requests o
+ ON o.transaction_id = n.transaction_id AND o.request_no = n.request_no) WHERE NOT u.same""",
+)
+
+
 def snapshots(led: Ledger) -> DataFrame:
     return led.audit_records.select("transaction_id", "source_file_id", "original_values.*")
 
@@ -449,16 +455,16 @@ def log_of(led: Ledger) -> DataFrame:
     return A.correction_log(led.correction_requests, led.ledger, led.audit_records)
 
 
-@query("correction_diff", f"SELECT * EXCLUDE (field_order) FROM ({DIFF_SQL})")
+@query("correction_diff", "SELECT * EXCLUDE (field_order) FROM request_changes")
 def correction_diff(led: Ledger) -> DataFrame:
     return log_of(led).select("transaction_id", "request_no", F.inline("changes"))
 
 
 @query(
     "correction_log",
-    f"""WITH d AS ({DIFF_SQL}) SELECT a.transaction_id, a.request_no, a.user_id, a.reason, d.fields AS changed_fields
+    """SELECT a.transaction_id, a.request_no, a.user_id, a.reason, d.fields AS changed_fields
  FROM accepted_requests a JOIN (SELECT transaction_id, request_no, string_agg(field_name, ',' ORDER BY field_order) fields
- FROM d GROUP BY 1, 2) d ON d.transaction_id = a.transaction_id AND d.request_no = a.request_no""",
+ FROM request_changes GROUP BY 1, 2) d ON d.transaction_id = a.transaction_id AND d.request_no = a.request_no""",
 )
 def correction_log(led: Ledger) -> DataFrame:
     names = F.transform("changes", lambda c: c["field_name"])
@@ -469,7 +475,7 @@ def correction_log(led: Ledger) -> DataFrame:
 
 @query(
     "correction_counts",
-    f"SELECT transaction_id, count(DISTINCT request_no) AS corrections FROM ({DIFF_SQL}) GROUP BY transaction_id",
+    "SELECT transaction_id, count(DISTINCT request_no) AS corrections FROM request_changes GROUP BY transaction_id",
 )
 def correction_counts(led: Ledger) -> DataFrame:
     return log_of(led).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("corrections"))
@@ -477,8 +483,8 @@ def correction_counts(led: Ledger) -> DataFrame:
 
 @query(
     "correction_apply",
-    """WITH latest AS (SELECT * FROM accepted_requests QUALIFY row_number() OVER (PARTITION BY transaction_id
- ORDER BY ts DESC) = 1), j AS (SELECT l.id, a.transaction_id IS NOT NULL AND (trim(l.description) <> a.description
+    """WITH latest AS MATERIALIZED (SELECT * FROM accepted_requests QUALIFY row_number() OVER (PARTITION BY transaction_id
+ ORDER BY ts DESC) = 1), j AS MATERIALIZED (SELECT l.id, a.transaction_id IS NOT NULL AND (trim(l.description) <> a.description
  OR l.balance IS DISTINCT FROM a.balance OR coalesce(l.reference, '') <> coalesce(a.reference, '')
  OR coalesce(l.transaction_type, '') <> a.transaction_type) is_changed, l.description od, a.description nd, l.balance ob,
  a.balance nb, l.reference orf, a.reference nrf, l.utr, l.processing_warning FROM ledger l LEFT JOIN latest a
