@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators.listing import JOB_STATES, job_state
 from ledgerspark.operators.ordered import find_hot
-from ledgerspark.plans.registry import query
+from ledgerspark.plans.registry import ORACLES, query
 from ledgerspark.session import ensure_checkpoint_dir
 from ledgerspark.sources.bridge import Ledger
 from ledgerspark.streaming import jobs as J
+from ledgerspark.streaming import ordered as O
+from ledgerspark.streaming.assemble import rocks_state
 
 _CODE = "CASE stage " + " ".join(f"WHEN '{n}' THEN {c}" for n, (c, _) in J.STAGES.items()) + " END"
 _PROGRESS = "CASE stage " + " ".join(f"WHEN '{n}' THEN {p}" for n, (_, p) in J.STAGES.items()) + " END"
@@ -62,6 +64,36 @@ def job_transitions(led: Ledger) -> DataFrame:
     return J.transitions(led.job_events, hot).select("event_id", "job_id", "status", "previous", "is_allowed")
 
 
+@query("job_transitions_stream")
+def job_transitions_stream(led: Ledger) -> DataFrame:
+    """The same from a stream whose files hold events in any order and some of them twice; a last event far ahead closes it."""
+    base = scratch(led)
+    rows = led.job_events
+    rows.repartition(3, F.xxhash64("event_id")).write.parquet(f"{base}/in")
+    rows.where(F.xxhash64("event_id", F.lit(1)) % 7 == 0).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    lateness = f"{int((span.b - span.a).total_seconds()) + 1} seconds"
+    close = rows.limit(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("job_id"), (F.lit(span.b) + F.expr(f"interval {lateness}") * 3).alias("ts"), "stage"
+    )
+    stream = led.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    with rocks_state(led.spark):
+        for more in (None, close):
+            if more is not None:
+                more.coalesce(1).write.mode("append").parquet(f"{base}/in")
+            made = O.ordered_transitions(stream, lateness)
+            start = made.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).foreachBatch(save).start()
+            start.awaitTermination()
+    out = led.spark.read.parquet(f"{base}/out")
+    return out.where("job_id >= 0").select("event_id", "job_id", "status", "previous", "is_allowed")
+
+
+ORACLES["job_transitions_stream"] = ORACLES["job_transitions"]
+
 _STATES = " ".join(f"WHEN {c} THEN '{n}'" for c, n, _, _ in JOB_STATES)
 _DEFAULTS = " ".join(f"WHEN {c} THEN {p}" for c, _, _, p in JOB_STATES)
 
