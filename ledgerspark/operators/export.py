@@ -102,9 +102,14 @@ def ledger_csv(validated: DataFrame, hot: Hot | None = None) -> DataFrame:
 
 
 def write_ledger_csv(validated: DataFrame, path: str, hot: Hot | None = None, buckets: int = 64) -> None:
-    """``buckets`` folders of whole statements, rows in serial order inside each part file; the file number is a column."""
+    """``buckets`` folders, each with its statements in order of file and serial number over its part files in order of name.
+
+    Rows are dealt out in ranges, so a bucket or statement with very many rows becomes several parts and a small bucket is one file.
+    """
     out = ledger_csv(validated, hot).withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(buckets)))
-    out.sortWithinPartitions("bucket", KEY, "Sr No").write.mode("overwrite").partitionBy("bucket").csv(path, header=True, quote='"', escape='"', quoteAll=False)
+    order = ["bucket", KEY, "Sr No"]
+    dealt = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").partitionBy("bucket").csv(path, header=True, quote='"', escape='"', quoteAll=False)
 
 
 def position() -> Column:

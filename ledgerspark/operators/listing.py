@@ -288,3 +288,30 @@ def job_state(code: Column, live_stage: Column | None = None, live_progress: Col
         "progress": progress,
         "requires_password": code == 5,
     }
+
+
+def tenant_folders(files: DataFrame, clients: DataFrame, years: DataFrame) -> DataFrame:
+    """``files`` with ``user_id``, ``client_id`` and ``year`` of their folder: the start of the financial year, else the upload year."""
+    starts = years.select("client_id", F.year("start_date").alias("fy_start_year"), F.year("start_date").alias("_start"))
+    out = files.join(clients.select(F.col("id").alias("client_id"), "user_id"), "client_id")
+    out = out.join(starts, ["client_id", "fy_start_year"], "left")
+    return out.withColumn("year", F.coalesce("_start", F.year("uploaded_at"))).drop("_start")
+
+
+TENANT = ["user_id", "client_id", "year"]
+
+
+def write_tenants(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Write ``rows`` below ``user_id=/client_id=/year=``; folders that get rows are replaced, all others stay as they are.
+
+    Rows are dealt out in ranges of folder and ``order``: a tenant with very many rows is spread over several tasks and numbered files, and
+    a small one is a single file, so the number of files follows the rows and not tasks times folders.
+    """
+    dealt = rows.repartitionByRange(*TENANT, *order).sortWithinPartitions(*TENANT, *order)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TENANT).parquet(path)
+
+
+def read_tenant(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
+    """Rows of one user, read from that user's folders only; of all users without one."""
+    rows = spark.read.parquet(path)
+    return rows if user_id is None else rows.where(F.col("user_id") == user_id)

@@ -387,6 +387,10 @@ def voucher_documents(headers: DataFrame, company: str | Column = "Company", key
 
 
 def write_voucher_files(headers: DataFrame, path: str, company: str | Column = "Company", key: str = "batch_id") -> None:
-    """One folder with one complete import document per batch; a batch is one document, so one task writes it."""
-    lines = voucher_documents(headers, company, key).repartition(key).sortWithinPartitions(key, "part", "row_number")
+    """One folder per batch; its part files in order of name are one complete import document.
+
+    Lines are dealt out in ranges of batch, part and row, so a batch with very many vouchers becomes several numbered parts in as many tasks.
+    """
+    order = [key, "part", "row_number"]
+    lines = voucher_documents(headers, company, key).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)

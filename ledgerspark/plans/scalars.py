@@ -328,6 +328,44 @@ def sql_functions(led: Ledger) -> DataFrame:
     )
 
 
+@query(
+    "sql_dates",
+    """SELECT id, CAST(transaction_date AS DATE) AS day, CAST(value_date AS DATE) AS named_day, CAST(transaction_date AS DATE) AS sheet_day,
+ -amount AS overdrawn, true AS is_date, false AS is_amount FROM ledger""",
+)
+def sql_dates(led: Ledger) -> DataFrame:
+    """Dates, tokens and marked amounts through SQL."""
+    register_functions(led.spark)
+    return led.ledger.selectExpr(
+        "id",
+        "ledger_date(date_format(transaction_date, 'dd/MM/yyyy')) AS day",
+        "ledger_date(upper(date_format(value_date, 'dd MMM yyyy'))) AS named_day",
+        "ledger_date_sheet(date_format(transaction_date, 'd-M-yyyy')) AS sheet_day",
+        "CAST(ledger_amount_drcr(concat(CAST(abs(amount) AS STRING), CASE WHEN amount < 0 THEN ' Cr' ELSE ' Dr' END)) AS DECIMAL(18,2)) AS overdrawn",
+        "ledger_is_date(date_format(transaction_date, 'dd/MM/yyyy')) AS is_date",
+        "ledger_is_amount(date_format(transaction_date, 'dd/MM/yyyy')) AS is_amount",
+    )
+
+
+@query(
+    "sql_table_functions",
+    """SELECT id, CASE WHEN id % 2 = 0 THEN lpad(CAST(id AS VARCHAR), 16, '0') ELSE lpad(CAST(id AS VARCHAR), 12, '0') END AS reference,
+ CASE WHEN id % 2 = 0 THEN lpad(CAST(id AS VARCHAR), 16, '0') END AS utr, CAST(transaction_date AS DATE) AS start, CAST(value_date AS DATE) AS end
+ FROM ledger""",
+)
+def sql_table_functions(led: Ledger) -> DataFrame:
+    """Identifiers and statement periods as table functions in a lateral join."""
+    register_functions(led.spark)
+    led.ledger.selectExpr(
+        "id",
+        "CASE WHEN id % 2 = 0 THEN concat('NEFT-', lpad(CAST(id AS STRING), 16, '0')) ELSE concat('NFS/', lpad(CAST(id AS STRING), 12, '0')) END AS said",
+        "concat('Statement From : ', date_format(transaction_date, 'dd/MM/yyyy'), ' To : ', date_format(value_date, 'dd/MM/yyyy')) AS head",
+    ).createOrReplaceTempView("ledger_said")
+    return led.spark.sql(
+        "SELECT id, i.reference, i.utr, p.start, p.end FROM ledger_said, LATERAL ledger_identifiers(said) i, LATERAL ledger_period_hdfc(head) p"
+    )
+
+
 @query(
     "row_confidence",
     """SELECT id, round(greatest(0.1, least(1.0, 0.95 - CASE WHEN amount <= 0 THEN 0.3 ELSE 0 END
