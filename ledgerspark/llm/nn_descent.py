@@ -28,8 +28,10 @@ ROUNDS = 8
 AUDIT = 400
 #: Rows of a group that are compared at once.
 BLOCK = 2048
-#: Bytes of vectors that go to every task at a time when groups are compared with one another.
+#: Bytes of vectors in a part when groups are compared with one another; a task holds two parts.
 PART_BYTES = 16 << 20
+#: Parts at least, so that several tasks share a small comparison.
+LEAST_PARTS = 6
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -269,63 +271,67 @@ def _bounds(x: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def _across(members: DataFrame, threshold: float, total: int) -> DataFrame:
     """``(u, v)``: roots of all different groups of ``members`` (``root, id, raw``) that a link joins, by exact comparison.
 
-    Parts of ``members`` go to every task in turn, so no row is copied by a shuffle. Blocks of a group are compared if their
-    directions and angles leave room for a link.
+    Rows are dealt into parts of about ``PART_BYTES``, and each pair of parts is one cell: a task holds two parts, whatever the number of
+    rows or the size of a group, and nothing goes through the driver. Each row is shuffled once for every part, so the cost grows with the
+    square of what is in large groups. Inside a cell blocks of a group are compared if their directions and angles leave room for a link.
     """
     if not total:
         return members.select(F.col("root").alias("u"), F.col("root").alias("v")).where("false")
     size = members.agg(F.sum(F.length("raw"))).first()[0]
-    parts = -(-size // PART_BYTES)
-    dealt = stored(
-        members.select("root", "id", "raw", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-        .repartitionByRange("root", "id")
-        .sortWithinPartitions("root", "id"),
-        "across",
-    )
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+    mine = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("mine")
+    dealt = members.select("root", "raw", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    cell = (F.least("mine", "other") * parts + F.greatest("mine", "other")).alias("cell")
+    cells = dealt.select(cell, (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") == F.col("other")).alias("same"), "root", "raw")
     reach = float(np.arccos(threshold)) + 1e-6
-    found = None
-    for part in range(parts):
-        by_dims: dict[int, tuple] = {}
-        picked = sorted(((r["root"], bytes(r["raw"])) for r in dealt.where(F.col("part") == part).select("root", "raw").collect()), key=lambda r: r[0])
-        for dims in {len(r[1]) for r in picked}:
-            own = [r for r in picked if len(r[1]) == dims]
-            root = np.array([r[0] for r in own], np.int64)
-            x = _cosine(np.frombuffer(b"".join(r[1] for r in own), np.float64).reshape(len(own), -1))
-            edges = _blocks_of(root)
-            by_dims[dims] = root, x, edges, *_bounds(x, edges)
-
-        def run(batches: Iterator[pa.RecordBatch], by_dims: dict = by_dims) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                roots, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                sizes = np.array([len(r) for r in raw])
-                for dims in set(sizes.tolist()) & set(by_dims):
-                    at = np.flatnonzero(sizes == dims)
-                    at = at[np.argsort(roots[at], kind="stable")]
-                    own = roots[at]
-                    x = _cosine(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1))
-                    yield from compare((own, x, edges := _blocks_of(own), *_bounds(x, edges)), by_dims[dims])
-
-        def compare(one: tuple, two: tuple) -> Iterator[pa.RecordBatch]:
-            root_a, x, edges_a, centre_a, angle_a = one
-            root_b, y, edges_b, centre_b, angle_b = two
-            joined = set()
-            for a in range(0, len(angle_a), BLOCK):
-                for b in range(0, len(angle_b), BLOCK):
-                    apart = np.arccos(np.clip(centre_a[a : a + BLOCK] @ centre_b[b : b + BLOCK].T, -1, 1))
-                    room = apart <= angle_a[a : a + BLOCK, None] + angle_b[None, b : b + BLOCK] + reach
-                    for i, j in zip(*(k.tolist() for k in np.nonzero(room)), strict=True):
-                        (i0, i1), (j0, j1) = edges_a[a + i : a + i + 2], edges_b[b + j : b + j + 2]
-                        pair = int(root_a[i0]), int(root_b[j0])
-                        if pair[0] != pair[1] and pair not in joined and (x[i0:i1] @ y[j0:j1].T >= threshold).any():
-                            joined.add(pair)
-            u, v = zip(*joined, strict=True) if joined else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        rest = dealt.where(F.col("part") >= part).select("root", "raw")
-        got = stored(rest.mapInArrow(run, "u long, v long").distinct(), "across-links")
-        found = got if found is None else found.unionByName(got)
-    discard(dealt)
-    return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[-1].column(0)[0].as_py() != key[a]:
+                    yield compare(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield compare(held)
+
+    def blocks(root: np.ndarray, raw: list[bytes]) -> tuple:
+        x = _cosine(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
+        edges = _blocks_of(root)
+        return root, x, edges, *_bounds(x, edges)
+
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows)
+        low, same, root = (whole.column(i).to_numpy() for i in (1, 2, 3))
+        raw = whole.column(4).to_pylist()
+        sizes = np.array([len(r) for r in raw])
+        joined: set[tuple[int, int]] = set()
+        for dims in np.unique(sizes).tolist():
+            sides = [np.flatnonzero((sizes == dims) & side) for side in ([low] if same[0] else [low, ~low])]
+            if all(len(at) for at in sides):
+                made = [blocks(root[at], [raw[i] for i in at]) for at in sides]
+                meet(made[0], made[-1], joined)
+        u, v = zip(*joined, strict=True) if joined else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def meet(one: tuple, two: tuple, joined: set[tuple[int, int]]) -> None:
+        root_a, x, edges_a, centre_a, angle_a = one
+        root_b, y, edges_b, centre_b, angle_b = two
+        for a in range(0, len(angle_a), BLOCK):
+            for b in range(0, len(angle_b), BLOCK):
+                apart = np.arccos(np.clip(centre_a[a : a + BLOCK] @ centre_b[b : b + BLOCK].T, -1, 1))
+                room = apart <= angle_a[a : a + BLOCK, None] + angle_b[None, b : b + BLOCK] + reach
+                for i, j in zip(*(k.tolist() for k in np.nonzero(room)), strict=True):
+                    (i0, i1), (j0, j1) = edges_a[a + i : a + i + 2], edges_b[b + j : b + j + 2]
+                    pair = int(root_a[i0]), int(root_b[j0])
+                    if pair[0] != pair[1] and pair not in joined and (x[i0:i1] @ y[j0:j1].T >= threshold).any():
+                        joined.add(pair)
+
+    met = cells.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(run, "u long, v long")
+    return stored(met.distinct(), "across-links")
 
 
 def _audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, turn: int, many: int) -> tuple[float, int, DataFrame]:
