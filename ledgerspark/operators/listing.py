@@ -307,7 +307,9 @@ def write_tenants(rows: DataFrame, path: str, order: list[str]) -> None:
     Rows are dealt out in ranges of folder and ``order``: a tenant with very many rows is spread over several tasks and numbered files, and
     a small one is a single file, so the number of files follows the rows and not tasks times folders.
     """
-    dealt = rows.repartitionByRange(*TENANT, *order).sortWithinPartitions(*TENANT, *order)
+    # A number of its own, as tasks that are merged for their few bytes would write many folders one after the other.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(tasks, *TENANT, *order).sortWithinPartitions(*TENANT, *order)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TENANT).parquet(path)
 
 
