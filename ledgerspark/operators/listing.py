@@ -32,6 +32,20 @@ def tenant_scope(df: DataFrame, clients: DataFrame, user_id: int | None, client_
     return df.join(authorized_clients(clients, user_id).select(F.col("client_id").alias(client_col)), client_col, "left_semi")
 
 
+def scope_all(tables: dict[str, tuple[DataFrame, str]], files: DataFrame, clients: DataFrame, user_id: int | None) -> dict[str, DataFrame]:
+    """Every tenant table with the rows of one user; no user means no filter.
+
+    ``tables`` maps a name to its rows and the column that ties them: ``id`` for the clients themselves, ``client_id``, or ``source_file_id``, whose
+    rows are those of the user's files.
+    """
+    own = tenant_scope(files, clients, user_id)
+    out = {}
+    for name, (df, column) in tables.items():
+        by_file = column == "source_file_id"
+        out[name] = df if user_id is None else of_files(df, own, column) if by_file else tenant_scope(df, clients, user_id, column)
+    return out
+
+
 def of_files(df: DataFrame, files: DataFrame, file_col: str = "source_file_id") -> DataFrame:
     """Rows whose file exists in ``files``."""
     return df.join(files.select(F.col("id").alias(file_col)), file_col, "left_semi")

@@ -130,6 +130,34 @@ def tenant_scope(led: Ledger) -> DataFrame:
     )
 
 
+#: The user whose rows are asked for.
+SCOPED_USER = 3
+
+
+@query(
+    "tenant_rows_all_tables",
+    f"""WITH own AS (SELECT id FROM clients WHERE user_id = {SCOPED_USER}), f AS (SELECT * FROM file_records WHERE client_id IN (SELECT id FROM own))
+ SELECT 'clients' AS table_name, id FROM own UNION ALL SELECT 'file_records', id FROM f
+ UNION ALL SELECT 'financial_years', id FROM financial_years WHERE client_id IN (SELECT id FROM own)
+ UNION ALL SELECT 'pdf_processing_results', id FROM f WHERE processing_status = 2
+ UNION ALL SELECT 'transactions', id FROM ledger WHERE client_id IN (SELECT id FROM own)
+ UNION ALL SELECT 'import_results', source_file_id FROM import_results WHERE source_file_id IN (SELECT id FROM f)""",
+)
+def tenant_rows_all_tables(led: Ledger) -> DataFrame:
+    """What one user sees of each of the six tenant tables, row by row."""
+    results = led.file_records.where("processing_status = 2").select("id", F.col("id").alias("source_file_id"))
+    tables = {
+        "clients": (led.clients, "id"),
+        "file_records": (led.file_records, "client_id"),
+        "financial_years": (led.financial_years, "client_id"),
+        "pdf_processing_results": (results, "source_file_id"),
+        "transactions": (led.ledger, "client_id"),
+        "import_results": (led.import_results.select(F.col("source_file_id").alias("id"), "source_file_id"), "source_file_id"),
+    }
+    seen = L.scope_all(tables, led.file_records, led.clients, SCOPED_USER)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "id") for name, df in seen.items()])
+
+
 @query("authorized_clients", "SELECT user_id, id AS client_id FROM clients")
 def authorized_clients(led: Ledger) -> DataFrame:
     return L.authorized_clients(led.clients)

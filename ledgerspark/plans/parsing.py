@@ -125,6 +125,24 @@ def repeated_lines(led: Ledger) -> DataFrame:
     return Wd.repeated_lines(Wd.build_lines(Wd.to_lines(led.words, led.hot), led.hot))
 
 
+@query(
+    "repeated_line_flags",
+    """WITH z AS (SELECT *, CASE WHEN y <= 842 * 0.12 THEN 'header' WHEN y >= 842 * 0.9 THEN 'footer' END zone
+ FROM (SELECT *, regexp_replace(line_text, '\\s+', ' ', 'g') t FROM doc_lines)),
+ s AS (SELECT *, upper(CASE WHEN zone = 'header' THEN t ELSE regexp_replace(t, '\\b\\d+\\b', '#', 'g') END) signature FROM z),
+ p AS (SELECT file_id, max(page) pages FROM doc_lines GROUP BY 1),
+ r AS (SELECT s.file_id, zone, signature FROM s JOIN p ON p.file_id = s.file_id WHERE zone IS NOT NULL AND pages > 1
+ AND (zone = 'footer' OR length(t) >= 4) GROUP BY 1, 2, 3 HAVING count(*) >= greatest(2, least(5, ceil(max(pages) * 0.2))))
+ SELECT s.file_id, s.line_no, coalesce(s.zone = 'header' AND r.file_id IS NOT NULL, false) AS is_header,
+ coalesce(s.zone = 'footer' AND r.file_id IS NOT NULL, false) AS is_footer FROM s LEFT JOIN r ON r.file_id = s.file_id AND r.zone = s.zone
+ AND r.signature = s.signature""",
+)
+def repeated_line_flags(led: Ledger) -> DataFrame:
+    """Every line with whether it repeats as a header or footer."""
+    lines = Wd.build_lines(Wd.to_lines(led.words, led.hot), led.hot)
+    return Wd.flag_repeated(lines).select("file_id", "line_no", "is_header", "is_footer")
+
+
 @query(
     "x_clusters",
     """WITH c AS (SELECT *, sum(n) OVER (PARTITION BY file_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) cluster FROM
